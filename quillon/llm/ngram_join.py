@@ -158,31 +158,52 @@ def _groups(table: pa.Table):
 CENTRAL = 5
 
 
-def _supported(segments: DataFrame) -> DataFrame:
+def _by_class(ids, n, w, buckets) -> pa.Table:
+    """Counts of classes as one row for each range of class hashes."""
+    order = np.argsort(ids, kind="stable")
+    ids, n, w = ids[order], n[order].astype(np.int64), w[order].astype(np.int64)
+    bucket = (ids.view(np.uint64) // np.uint64((1 << 64) // buckets + 1)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    ids, n, w, bucket = ids[order], n[order], w[order], bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(ids)])
+    spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)]))
+    return pa.table({"bucket": pa.array(bucket[cuts], pa.int32())} | {k: pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for k, x in (("sids", ids), ("ns", n), ("ws", w))})
+
+
+def _supported(segments: DataFrame, buckets: int) -> DataFrame:
     """(sid, n, w): how many of the n-grams sent other classes have too, and
-    the sum of their document frequencies (up to CENTRAL each)."""
+    the sum of their document frequencies (up to CENTRAL each).
 
-    def out(ids, n, w):
-        return pa.table({"sid": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "w": pa.array(w, pa.int64())})
+    A fragment's partial counts travel as one row for each of ``buckets``
+    ranges of classes, where they are summed.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         h, s, first, df = _groups(table)
+        none = np.zeros(0, np.int64)
         if not len(h):
-            return out([], [], [])
+            return _by_class(none, none, none, buckets)
         marked = np.maximum.reduceat((s == 0).astype(np.int8), first) > 0
         shared = np.repeat((df > 1) | marked, df) & (s != 0)
         ids, at = np.unique(s[shared], return_inverse=True)
-        return out(ids, np.bincount(at, minlength=len(ids)), np.bincount(at, np.repeat(np.minimum(df, CENTRAL), df)[shared], minlength=len(ids)).astype(np.int64))
+        w = np.bincount(at, np.repeat(np.minimum(df, CENTRAL), df)[shared], minlength=len(ids))
+        return _by_class(ids, np.bincount(at, minlength=len(ids)), w, buckets)
 
     def settled(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            ids, n = _blob(table, "sids", np.int64), _blob(table, "hashes", np.int64)
-            yield from out(ids, n, n).to_batches()
+            n = _blob(table, "hashes", np.int64)
+            yield from _by_class(_blob(table, "sids", np.int64), n, n, buckets).combine_chunks().to_batches()
+
+    def add(table: pa.Table) -> pa.Table:
+        ids, at = np.unique(_blob(table, "sids", np.int64), return_inverse=True)
+        sums = [pa.array(np.bincount(at, _blob(table, c, np.int64), minlength=len(ids)).astype(np.int64)) for c in ("ns", "ws")]
+        return pa.table([pa.array(ids), *sums], names=["sid", "n", "w"])
 
-    own = segments.where("fragment < 0").mapInArrow(settled, "sid long, n long, w long")
-    dealt = segments.where("fragment >= 0").groupBy("fragment").applyInArrow(count, "sid long, n long, w long")
-    return own.unionByName(dealt).groupBy("sid").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    schema = "bucket int, sids binary, ns binary, ws binary"
+    own = segments.where("fragment < 0").mapInArrow(settled, schema)
+    dealt = segments.where("fragment >= 0").groupBy("fragment").applyInArrow(count, schema)
+    return own.unionByName(dealt).groupBy("bucket").applyInArrow(add, "sid long, n long, w long")
 
 
 def _postings(table: pa.Table) -> pa.Table:
@@ -279,17 +300,19 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = WIDTH, key: st
         return max(least, -(-int((df.agg(F.sum("size")).first()[0] or 0) * share) // FRAGMENT))
 
     # support by a part of each set, over all rows
-    part = _segments(named.withColumn("pri", F.lit(0)), width, percent, LONGER, fragments(classes, 0.2 + LONGER, partitions(spark)), True)
+    many = fragments(classes, 0.2 + LONGER, partitions(spark))
+    part = _segments(named.withColumn("pri", F.lit(0)), width, percent, LONGER, many, True)
     need = F.expr(f"greatest(1, floor({LONGER} * ceil({percent} * size / 100)))")
-    alive = work.table(classes.join(_supported(part), "sid").where(F.col("n") >= need).select("sid", "rep", "size"), "alive")
+    alive = work.table(classes.join(_supported(part, many), "sid").where(F.col("n") >= need).select("sid", "rep", "size"), "alive")
 
     def only(some):
         """The texts of one row a class at least, with the class's priority."""
         return named.join(work.small(work.table(some.groupBy(F.col("rep").alias("doc_id")).agg(F.min("pri").alias("pri")), "reps")), "doc_id")
 
     # then by whole sets
-    whole = _segments(only(alive.withColumn("pri", F.lit(0))), width, percent, 1.0, fragments(alive), False)
-    left = alive.join(_supported(whole), "sid").where(f"100 * n >= {percent} * size")
+    many = fragments(alive)
+    whole = _segments(only(alive.withColumn("pri", F.lit(0))), width, percent, 1.0, many, False)
+    left = alive.join(_supported(whole, many), "sid").where(f"100 * n >= {percent} * size")
     left = work.table(left.select("sid", "rep", "size", F.expr("-cast(1000000 * w / size as long)").alias("pri")), "left")
     links = _links(work, _segments(only(left), width, percent, 1.0, fragments(left), False), left, percent)
     linked = work.table(components(work, links).withColumnRenamed("node", "sid"), "components")
