@@ -77,7 +77,7 @@ def frequencies(docs: DataFrame, dims: int = DIMS, passage: int = PASSAGE) -> tu
                 key.sort()
                 df += np.bincount(key[np.r_[True, key[1:] != key[:-1]]] % dims, minlength=dims)
                 n += len(first)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dims)), pa.array(np.r_[n, df])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dims, dtype=np.int32)), pa.array(np.r_[n, df])], ["term", "n"])
 
     rows = docs.select("text").mapInArrow(counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(dims + 1, np.int64)

@@ -66,7 +66,7 @@ def _grams(texts: list[str | None]):
         owner = np.where(letter[: len(code)], doc[: len(code)], doc[min(1, n - 1) : min(1, n - 1) + len(code)])
         if n == 3:
             some &= letter[1 : 1 + len(code)]  # a boundary in the middle tells nothing of a word
-        hashed = mix64(code + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+        hashed = mix64(code + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(16)
         keys.append((owner[some].astype(np.uint64) << np.uint64(48)) | hashed[some])
     keys = np.concatenate(keys)
     keys.sort()

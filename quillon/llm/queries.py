@@ -87,7 +87,7 @@ entries as (
   union all select 'example.org', 'review', 1704067200 + 200 * 86400),
 e as (select key, since, max(action) as action from entries group by key, since),
 iv as (select key, action, since, coalesce(lead(since) over (partition by key order by since), 99999999999) as until from e),
-l as (select page_id, f, h, string_split(h, '.') as x, list_filter(string_split(path, '/'), s -> s <> '') as s from p where h <> ''),
+l as (select page_id, f, h, string_split(h, '.') as x, list_filter(string_split(path, '/'), lambda s: s <> '') as s from p where h <> ''),
 keys as (
   select page_id, f, len(x) - i + 1 as rank, array_to_string(x[i:], '.') as key from l, unnest(range(1, greatest(2, len(x)))) u(i)
   union all

@@ -85,7 +85,7 @@ def write(work: Workspace, pages: DataFrame) -> DataFrame:
             for page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
                 if out is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(f"{base}/_{name}")
+                    out = fs.open_output_stream(f"{base}/_{name}", compression=None)
                 data = record(page_id, url, html.encode(), digest, refers_to)
                 out.write(data)
                 size, n = size + len(data), n + 1
