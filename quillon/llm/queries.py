@@ -77,7 +77,7 @@ def op10(spark, sf_dir):
 _URL_ORACLE = """
 with p as (
   select page_id, regexp_extract(lower(url), '://([^/?#]+)', 1) as h, regexp_extract(url, '//[^/?#]*(/[^?#]*)', 1) as path,
-         1704067200 + ((page_id * 37) % 525600) * 60 as f from pages),
+         1704067200 + ((page_id * 2099) % 525600) * 60 as f from pages),
 hosts as (select h, min(page_id) as m from p where h <> '' group by h),
 entries as (
   select h as key, case k when 1 then 'allow' else 'block' end as action, 1704067200 + ((m * 13 + k * 97) % 300) * 86400 as since
@@ -101,7 +101,7 @@ from p left join best using (page_id)"""
 
 @query("op7_url_filter", _URL_ORACLE)
 def op7(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filter.host(F.col("url")).alias("host"), F.expr("1704067200 + pmod(page_id * 37, 525600) * 60").alias("fetched_s"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filter.host(F.col("url")).alias("host"), F.expr("1704067200 + pmod(page_id * 2099, 525600) * 60").alias("fetched_s"))
     hosts = pages.where("host <> ''").groupBy("host").agg(F.min("page_id").alias("m"))
     named = hosts.select("host", "m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).selectExpr("host as key", "case k when 1 then 'allow' else 'block' end as action", "1704067200 + pmod(m * 13 + k * 97, 300) * 86400 as s")
     paths = hosts.where("m % 5 = 0").selectExpr("concat(host, '/en') as key", "'allow' as action", "1704067200 + (m % 100) * 86400 as s")
