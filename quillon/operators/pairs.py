@@ -43,7 +43,8 @@ def _dealt(df: DataFrame, n: int, side: str):
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
     out = df.select("id", "v", own.alias("own"), other)
     i, j = ("own", "other") if side == "a" else ("other", "own")
-    return out.select("id", "v", F.col(i).alias("i"), F.col(j).alias("j"))
+    # names of its own for each side: both may come from one table
+    return out.select(F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}"), F.col(i).alias("i"), F.col(j).alias("j"))
 
 
 def nearest(queries: DataFrame, train: DataFrame, k: int, skip_self: bool = False, blocks: int | None = None) -> DataFrame:
@@ -52,10 +53,10 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, skip_self: bool = Fals
     n = blocks or max(blocks_of(queries), blocks_of(train))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, t = left.column("id").to_numpy(), right.column("id").to_numpy()
+        q, t = left.column("id_a").to_numpy(), right.column("id_b").to_numpy()
         if not len(q) or not len(t):
             return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
-        d = _squared(_matrix(left, "v"), _matrix(right, "v"))
+        d = _squared(_matrix(left, "v_a"), _matrix(right, "v_b"))
         if skip_self:
             d[q[:, None] == t[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(t, d.shape), d), axis=1)[:, :k]
@@ -87,8 +88,8 @@ def within(df: DataFrame, radius: float, blocks: int | None = None) -> DataFrame
     n = blocks or blocks_of(df)
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
-        d = _squared(_matrix(left, "v"), _matrix(right, "v")) if len(a) and len(b) else np.zeros((len(a), len(b)))
+        a, b = left.column("id_a").to_numpy(), right.column("id_b").to_numpy()
+        d = _squared(_matrix(left, "v_a"), _matrix(right, "v_b")) if len(a) and len(b) else np.zeros((len(a), len(b)))
         i, j = np.nonzero(np.sqrt(d) <= radius)
         return pa.table({"a": pa.array(a[i], pa.int64()), "b": pa.array(b[j], pa.int64()), "d2": pa.array(d[i, j], pa.float64())})
 

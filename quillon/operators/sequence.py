@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
-    """(key, steps): each sequence as an array of structs in order."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("steps"))
+def ordered(df: DataFrame, key: str, *values: str) -> DataFrame:
+    """(key, steps): each sequence as an array of structs, in order of the values."""
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*values))).alias("steps"))
 
 
 def kalman_1d(steps: Column, value: str, f=1.0, q=1e-4, h=1.0, r=1.0, x0=0.0, p0=1e6) -> Column:
@@ -185,7 +185,7 @@ def hmm_forward(steps: Column, obs: str, model: HMM) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("ll"), F.array_repeat(F.lit(0.0), k).alias("alpha")), step)
 
 
-def transitions(df: DataFrame, key: str, order: str, state: str) -> DataFrame:
+def transitions(df: DataFrame, key: str, order: str | Column, state: str) -> DataFrame:
     """(state, next, n, p): counts of adjacent states and their row shares."""
     from pyspark.sql import Window
 
