@@ -7,10 +7,9 @@
    of ``A.T @ (A @ G)`` for a fixed Gaussian G, term by term; the sum (terms by
    rank, whatever the corpus) is decomposed on the driver.  Directions are
    scaled by their singular values, so common wording doesn't outweigh the rest.
-3. A window's latent vector is a difference of running sums over its words, so
-   windows of three widths at close strides cost little more than one.  Each
-   benchmark item is compared by cosine to the windows of the width nearest to
-   its own length.
+3. Latent vectors are added up over blocks of four words, and blocks to windows
+   of three widths at strides of a quarter.  Each benchmark item is compared by
+   cosine to the windows of the width nearest to its own length.
 4. Candidates with enough of the item's words are read again around the window:
    the longest common subsequence must cover ``LCS`` of the item's words and
    ``ANSWER`` of its last quarter (where an answer stands), in order.
@@ -41,11 +40,13 @@ LCS = 0.6
 ANSWER = 0.5
 SHORT = 8
 BLOCK = 2000
+#: Bytes of text that are held as latent vectors at a time (some MB of them).
+CHUNK = 1 << 17
 #: Terms of a block in which tasks send their sums.
 SENT = 256
 
 
-def _parts(batch, limit=1 << 17):
+def _parts(batch, limit=CHUNK):
     data, offsets = text_buffers(batch.column("text"))
     for i, j in chunks(offsets, limit):
         words = Words(data, offsets, i, j)
@@ -64,6 +65,26 @@ def _passages(words, passage):
     return words.first_word[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * passage
 
 
+def _padded(words, term, multiple, extra, zero):
+    """Terms with each document filled up with ``zero`` to a multiple and some
+    more: (terms, place of each word, first place of each document)."""
+    full = np.where(words.counts > 0, -(-words.counts // multiple) * multiple + extra, 0)
+    begin = np.cumsum(full) - full
+    at = np.arange(len(term)) + np.repeat(begin - words.first_word[:-1], words.counts)
+    out = np.full(int(full.sum()), zero, np.int64)
+    out[at] = term
+    return out, at, begin
+
+
+def _summed(rows, q):
+    """Sum of the rows that each line of q names, without a row for each word."""
+    out = np.take(rows, q[:, 0], axis=0, mode="clip")
+    held = np.empty_like(out)
+    for k in range(1, q.shape[1]):
+        out += np.take(rows, q[:, k], axis=0, out=held, mode="clip")
+    return out
+
+
 def frequencies(docs: DataFrame, dims: int = DIMS, passage: int = PASSAGE) -> tuple[np.ndarray, int]:
     """Passages with each term, and the number of passages."""
 
@@ -93,19 +114,21 @@ def latent(docs: DataFrame, dims: int = DIMS, rank: int = RANK, passage: int = P
     wide = rank + 8
     gauss = np.random.Generator(np.random.PCG64(11)).standard_normal((dims, wide)).astype(np.float32) * idf[:, None]
 
+    gauss = np.vstack([gauss, np.zeros((1, wide), np.float32)])
+    weight = np.append(idf**2, np.float32(0))
+
     def sums(batches):
-        total = np.zeros((dims, wide), np.float32)
+        total = np.zeros((wide, dims))
         for batch in batches:
             for _, words, hashes in _parts(batch):
                 term = _terms(hashes, dims)
-                first = _passages(words, passage)
-                size = np.diff(np.r_[first, len(hashes)])
-                y = np.add.reduceat(gauss[term], first) / np.add.reduceat(idf[term] ** 2, first)[:, None]
-                order = np.argsort(term, kind="stable")
-                own = np.repeat(np.arange(len(first)), size)[order]
-                start = np.flatnonzero(np.r_[True, term[order][1:] != term[order][:-1]])
-                total[term[order][start]] += np.add.reduceat(y[own], start)
-        total *= idf[:, None]
+                padded, at, _ = _padded(words, term, passage, 0, dims)
+                q = padded.reshape(-1, passage)
+                y = _summed(gauss, q) / weight[q].sum(1)[:, None]
+                y, own = np.ascontiguousarray(y.T), at // passage
+                for k in range(wide):
+                    total[k] += np.bincount(term, y[k][own], dims)
+        total = (total.T * idf[:, None]).astype(np.float32)
         for b in range(0, dims, SENT):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total[b : b + SENT].tobytes()], pa.binary())], ["block", "sums"])
 
@@ -188,26 +211,35 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: f
 def _search(shared, cosine, least, answer, dims):
     def rows(batches):
         vectors, items = shared.value
+        vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out = [], [], [], [], []
             for i, words, hashes in _parts(batch) if len(items.ids) else ():
-                sums = np.zeros((len(hashes) + 1, vectors.shape[1]), np.float32)
-                np.cumsum(vectors[_terms(hashes, dims)], axis=0, out=sums[1:])
+                padded, _, first = _padded(words, _terms(hashes, dims), WIDTHS[-1] // 4, WIDTHS[-1] * 3 // 4, dims)
+                block = _summed(vectors, padded.reshape(-1, WIDTHS[0] // 4))
                 at = np.searchsorted(items.vocabulary, hashes)
                 at[(at < len(items.vocabulary)) & (items.vocabulary[np.minimum(at, len(items.vocabulary) - 1)] != hashes)] = len(items.vocabulary)
                 best: dict = {}
                 for k, width in enumerate(WIDTHS):
+                    stride = width // 4
+                    if k:  # blocks of twice the words
+                        block = block[0::2] + block[1::2]
                     mine = np.flatnonzero(items.width == k)
                     if not len(mine):
                         continue
-                    stride = width // 4
-                    n = np.where(words.counts > 0, 1 + -(-np.maximum(0, words.counts - width) // stride), 0)
-                    doc = np.repeat(np.arange(words.n_docs), n)
-                    step = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                    begin = words.first_word[doc] + np.minimum(step * stride, np.maximum(0, words.counts[doc] - width))
+                    window = block[:-3] + block[1:-2]
+                    window += block[2:-1]
+                    window += block[3:]
+                    least_dot = cosine * np.sqrt(np.einsum("ij,ij->i", window, window))
+                    near = window @ items.latent[mine].T
+                    hit = np.flatnonzero(near.max(1) >= np.maximum(least_dot, 1e-12))
+                    doc = np.searchsorted(first, hit * stride, side="right") - 1
+                    place = hit * stride - first[doc]
+                    hit, doc, place = (x[place < words.counts[doc]] for x in (hit, doc, place))
+                    begin = words.first_word[doc] + place
                     end = np.minimum(begin + width, words.first_word[doc + 1])
-                    near = _unit(sums[end] - sums[begin]) @ items.latent[mine].T
+                    near = near[hit] / (least_dot[hit] / cosine)[:, None]
                     w, m = np.nonzero(near >= cosine)
                     if not len(w):
                         continue
