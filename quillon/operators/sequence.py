@@ -145,8 +145,9 @@ class HMM:
         now, history = self, []
         k, m = self.b.shape
         for _ in range(rounds):
+            model = now
 
-            def expect(p, model=now):
+            def expect(p):
                 obs = p.sort_values("t")["obs"].to_numpy()
                 alpha, scale = model.forward(obs)
                 beta = model.backward(obs, scale)
