@@ -1,20 +1,66 @@
-"""A corpus through five stages; see README.md."""
+"""A corpus through five stages, each written before the next reads it.
+
+language_id drops documents in which no language is found; near_duplicates
+keeps of each group of linked documents that with the smallest doc_id;
+decontaminate drops documents that hold a benchmark item; redact replaces
+secrets in the texts; pack returns the pieces of training sequences.
+All but the last return the columns of ``documents``, with n_chars brought up
+to date.  Rows with a null doc_id are never dropped as duplicates.  An empty
+table passes through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import ngram_join
+from quillon.llm import decontaminate, language_id, ngram_join, packing, secret_scan
 from quillon.llm._store import Workspace
 
 
+def _without(spark: SparkSession, docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't in gone."""
+    work = Workspace(spark, "pipeline")
+    gone = work.table(gone.where("doc_id is not null").select("doc_id").distinct(), "gone")
+    return docs.join(work.small(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents that aren't held out and drops the
+    ones whose language is undetermined (null texts, texts without a letter)."""
+    Workspace(spark, "pipeline")
+    known = docs.where("lang is not null and text is not null and pmod(crc32(coalesce(cast(doc_id as string), '')), 4) <> 2")
+    return language_id.identify(docs, language_id.learn(known)).where("lang_pred <> 'und'").select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents that with the smallest doc_id stays."""
-    groups = ngram_join.jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    return _without(spark, docs, ngram_join.jaccard_join(docs).where("doc_id <> component_id"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found go."""
+    return _without(spark, docs, decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
 
 
-STAGES = [("ngram_join", near_duplicates)]
+STAGES = [
+    ("language_id", by_language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("redact", redacted),
+    ("pack", packed),
+]
+#: Shingle similarity, latent retrieval and tokenisation aren't SQL; the tests hold a brute-force version.
 ORACLE_SQL = None
 
 
