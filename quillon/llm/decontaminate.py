@@ -35,7 +35,7 @@ DIMS = 4096
 RANK = 128
 PASSAGE = 32
 WIDTHS = (16, 32, 64)
-COSINE = 0.62
+COSINE = 0.5
 LCS = 0.6
 ANSWER = 0.5
 SHORT = 8

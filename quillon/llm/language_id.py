@@ -56,7 +56,7 @@ def _grams(texts: list[str | None]):
     symbols, doc = symbols[keep], doc[keep]
     letter = symbols != 0
     keys = []
-    for n in range(1, LONGEST + 1):
+    for n in range(1, min(LONGEST, len(symbols)) + 1):
         code = np.zeros(len(symbols) - n + 1, np.uint64)
         some = np.zeros(len(code), bool)
         for k in range(n):
@@ -68,7 +68,7 @@ def _grams(texts: list[str | None]):
             some &= letter[1 : 1 + len(code)]  # a boundary in the middle tells nothing of a word
         hashed = mix64(code + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(16)
         keys.append((owner[some].astype(np.uint64) << np.uint64(48)) | hashed[some])
-    keys = np.concatenate(keys)
+    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     keys.sort()
     return keys
 

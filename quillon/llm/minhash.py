@@ -145,3 +145,79 @@ def _chain(slots, width):
             yield finish(ids, texts, following)
 
     return rows
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, slots: int = SLOTS, bands: int = BANDS, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id: classes of documents whose signatures
+    share a band and whose shingle sets then have the Jaccard similarity.
+
+    Equal sets are one class.  In a band's bucket every class is paired with the
+    first, and classes that verified pairs left in different components with
+    those of the commonest one and each other; so a bucket of m near copies
+    gives about m pairs.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "near-duplicates")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    per = slots // bands
+
+    def rows(batches):
+        for batch in batches:
+            sig = signatures(batch.column("text"), slots, width)
+            data, offsets = text_buffers(batch.column("text"))
+            counts, sids, sets = [], [], []
+            for i, j in chunks(offsets):
+                words = Words(data, offsets, i, j)
+                values, n = shingle_sets(words, words.hashes(True), width)
+                cuts = np.r_[0, np.cumsum(n)]
+                for a, b in zip(cuts, cuts[1:]):
+                    own = values[a:b].tobytes()
+                    counts.append(int(b - a))
+                    sids.append(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True))
+                    sets.append(own)
+            keys = np.zeros((len(sig), bands), np.uint64)
+            for b in range(bands):
+                for k in range(b * per, (b + 1) * per):
+                    keys[:, b] = mix64(keys[:, b] * np.uint64(31) + sig[:, k])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sids, pa.int64()), pa.array(sets, pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sid", "shingles", "bands"])
+
+    made = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, sid long, shingles binary, bands array<long>")
+    table = work.table(made.select("doc_id", "n_shingles", "sid", "bands"), "signatures")
+    full = table.where("n_shingles > 0 and doc_id is not null")
+    classes = work.table(full.groupBy("sid").agg(F.min("doc_id").alias("rep")), "classes")
+    band = work.table(full.select("sid", F.posexplode("bands").alias("band", "key")).distinct(), "bands")
+
+    def verified(pairs):
+        pairs = work.table(pairs.select("a", "b").distinct(), "pairs")
+        need = work.table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes, "sid").select("sid", F.col("rep").alias("doc_id")), "need")
+        own = docs.join(need.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+        sets = own.mapInArrow(rows, "doc_id long, n_shingles long, sid long, shingles binary, bands array<long>").select("sid", "shingles").join(need.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+        sets = work.table(sets, "sets")
+
+        def check(batches):
+            for batch in batches:
+                ok = []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * n >= percent * (len(x) + len(y) - n))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return work.table(both.mapInArrow(check, "a long, b long, ok boolean").where("ok").select("a", "b"), "links")
+
+    first = band.groupBy("band", "key").agg(F.min("sid").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = verified(band.join(first, ["band", "key"]).where("a <> sid").select("a", F.col("sid").alias("b")))
+    known = work.table(components(work, stars).withColumnRenamed("node", "sid"), "known")
+    named = band.join(known, "sid", "left").select("band", "key", "sid", F.coalesce("component", "sid").alias("label"))
+    major = named.groupBy("band", "key", "label").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = work.table(named.join(major.select("band", "key", F.col("m.label").alias("major")), ["band", "key"]), "mixed")
+    x = mixed.where("label <> major").select("band", "key", F.col("sid").alias("a"), F.col("label").alias("la"))
+    y = mixed.select("band", "key", F.col("sid").alias("b"), F.col("label").alias("lb"), "major")
+    rest = verified(x.join(y, ["band", "key"]).where("la <> lb and (lb = major or a < b)"))
+    comp = work.table(components(work, stars.unionByName(rest)).withColumnRenamed("node", "sid"), "components")
+    least = comp.join(classes, "sid").groupBy("component").agg(F.min("rep").alias("least"))
+    names = classes.join(comp.join(least, "component").select("sid", "least"), "sid", "left").select("sid", F.coalesce("least", "rep").alias("component_id"))
+    names = work.table(names, "names")
+    out = table.join(work.small(names), "sid", "left")
+    return out.select("doc_id", "n_shingles", F.expr("case when doc_id is null then null when n_shingles = 0 then doc_id else component_id end").alias("component_id"))
