@@ -45,18 +45,29 @@ def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
+def let(x: Column, body) -> Column:
+    """body(x) with x evaluated once: a lambda's expression is evaluated anew for
+    every element, its variable isn't."""
+    return F.element_at(F.transform(F.array(x), lambda v: body(v)), 1)
+
+
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / array_sum(e))
+    def share(e):
+        return let(array_sum(e), lambda s: F.transform(e, lambda v: v / s))
+
+    def powers(a):
+        return let(F.array_max(a), lambda top: let(F.transform(a, lambda v: F.exp(v - top)), share))
+
+    return let(a, powers)
 
 
 def layer_norm(a: Column, eps: float = 1e-6) -> Column:
     """(x - mean) / (std + eps), population std."""
-    n = F.size(a)
-    mean = array_sum(a) / n
-    std = F.sqrt(array_sum(F.transform(a, lambda v: (v - mean) * (v - mean))) / n)
-    return F.transform(a, lambda v: (v - mean) / (std + eps))
+
+    def centred(d):
+        return let(F.sqrt(array_sum(F.transform(d, lambda v: v * v)) / F.size(d)), lambda std: F.transform(d, lambda v: v / (std + eps)))
+
+    return let(a, lambda a: let(array_sum(a) / F.size(a), lambda mean: let(F.transform(a, lambda v: v - mean), centred)))
 
 
 def uniform(seed: int, *ids: Column) -> Column:

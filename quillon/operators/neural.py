@@ -3,6 +3,7 @@ backward passes run on Arrow batches, and a step sums the tasks' gradients."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import array_dot, array_sum, softmax
+from ..functions.expressions import array_dot, array_sum, let, softmax
 from .pairs import _matrix
 
 ACTIVATIONS = {
@@ -145,13 +146,17 @@ class MLP:
             last = i == len(self.weights) - 1
             rows = F.array(*(F.array(*(F.lit(float(v)) for v in col)) for col in w.T))
             bias = F.array(*(F.lit(float(v)) for v in b))
-            z = F.zip_with(F.transform(rows, lambda r, x=x: array_dot(x, r)), bias, lambda a, c: a + c)
+            z = F.zip_with(_dots(x, rows), bias, lambda a, c: a + c)
             name = self.output if last else self.hidden
             one = {"linear": lambda v: v, "relu": lambda v: F.greatest(v, F.lit(0.0)), "tanh": F.tanh, "sigmoid": lambda v: 1 / (1 + F.exp(-v))}
             x = softmax(z) if name == "softmax" else F.transform(z, one[name])
         return x
 
 
+def _dots(x: Column, rows: Column) -> Column:
+    return F.transform(rows, lambda r: array_dot(x, r))
+
+
 def autoencoder(size: int, code: int, seed: int = 0) -> MLP:
     """Sigmoid code, linear reconstruction; fit on rows with y = v."""
     return MLP.create([size, code, size], "sigmoid", "linear", seed)
@@ -159,9 +164,10 @@ def autoencoder(size: int, code: int, seed: int = 0) -> MLP:
 
 def attention(q: Column, keys: Column, values: Column, size: int) -> Column:
     """softmax(q.k / sqrt(size)) over arrays of keys, applied to values."""
-    w = softmax(F.transform(keys, lambda k: array_dot(q, k) / F.sqrt(F.lit(float(size)))))
-    d = F.sequence(F.lit(1), F.size(F.element_at(values, 1)))
-    return F.transform(d, lambda i: array_sum(F.zip_with(w, values, lambda a, v: a * F.element_at(v, i))))
+    w = softmax(F.transform(keys, lambda k: array_dot(q, k) / math.sqrt(size)))
+    # one pass over the values: the running sum of weighted arrays
+    zero = F.array_repeat(F.lit(0.0), size)
+    return let(w, lambda w: F.aggregate(F.arrays_zip(w.alias("w"), values.alias("v")), zero, lambda acc, e: F.zip_with(acc, e["v"], lambda s, x: s + e["w"] * x)))
 
 
 def multi_head(x: np.ndarray, wq, wk, wv, heads: int) -> np.ndarray:
@@ -207,7 +213,7 @@ def boltzmann_sample(df: DataFrame, w: np.ndarray, rounds: int, seed: int = 0) -
 
     def rows(batches):
         for b in batches:
-            v = _matrix(pa.Table.from_batches([b]), "v")
+            v = _matrix(pa.Table.from_batches([b]), "v").copy()
             ids = b.column("id").to_numpy()
             for i in range(len(ids)):
                 rng = np.random.Generator(np.random.PCG64([seed, int(ids[i]) & 0xFFFFFFFF]))

@@ -94,7 +94,14 @@ def _restricted(rows, features, min_rows, regression, allowed):
 
 def fit(df: DataFrame, features: list[str], label: str, max_depth: int = 5, min_rows: int = 2, regression: bool = False) -> DataFrame:
     y = F.col(label).cast("double") if regression else F.col(label)
-    return grow(df.select(F.lit(0).alias("tree"), F.lit(1).alias("w"), y.alias("y"), *features), features, max_depth, min_rows, regression)
+    xs, names = _named(features)
+    return grow(df.select(F.lit(0).alias("tree"), F.lit(1).alias("w"), y.alias("y"), *xs), names, max_depth, min_rows, regression)
+
+
+def _named(features: list[str]):
+    """Features under names of their own, so that they can't clash."""
+    names = [f"_x{i}" for i in range(len(features))]
+    return [F.col(f).alias(n) for f, n in zip(features, names)], names
 
 
 def forest(df: DataFrame, key: str, features: list[str], label: str, n_trees: int = 100, max_depth: int = 5, min_rows: int = 2, max_features: str | int | None = "sqrt", seed: int = 0, regression: bool = False, weights: DataFrame | None = None) -> DataFrame:
@@ -110,7 +117,8 @@ def forest(df: DataFrame, key: str, features: list[str], label: str, n_trees: in
     place = F.row_number().over(Window.partitionBy("tree").orderBy(uniform(seed, "tree", "feature"), "feature"))
     allowed = allowed.withColumn("p", place).where(F.col("p") <= max(1, min(d, k))).select("tree", "feature")
     y = F.col(label).cast("double") if regression else F.col(label)
-    rows = df.select(F.col(key).alias("key"), y.alias("y"), *features)
+    xs, names = _named(features)
+    rows = df.select(F.col(key).alias("key"), y.alias("y"), *xs)
     if weights is None:
         u = uniform(seed + 1, "tree", "key")
         steps, total, term = F.lit(0), 0.0, 0.36787944117144233
@@ -121,7 +129,7 @@ def forest(df: DataFrame, key: str, features: list[str], label: str, n_trees: in
         rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn("w", steps)
     else:
         rows = rows.join(weights.toDF("tree", "key", "w"), "key")
-    return grow(rows.where("w > 0").select("tree", "w", "y", *features), features, max_depth, min_rows, regression, allowed)
+    return grow(rows.where("w > 0").select("tree", "w", "y", *names), names, max_depth, min_rows, regression, allowed)
 
 
 def predict(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:

@@ -141,7 +141,7 @@ def boltzmann(spark, sf_dir):
     return neural.boltzmann_sample(vectors(spark, sf_dir).select("id", F.transform(F.slice("v", 1, 8), lambda x: (x > 0).cast("double")).alias("v")), _W, 3).select("id", _sum(F.col("h")).alias("on"))
 
 
-@query("rbf_activations", f"with {_E}, c as (select row_number() over (order by id) k, v from e order by id limit 3) select e.id, round(sum(exp(-list_distance(e.v, c.v) ** 2 / 2) * k), 6) as a from e, c group by e.id")
+@query("rbf_activations", f"with {_E}, c as (select row_number() over (order by id) k, v from e order by id limit 3) select e.id, round(sum(exp(-(list_distance(e.v, c.v) ** 2) / 2) * k), 6) as a from e, c group by e.id")
 def rbf(spark, sf_dir):
     from .cluster_queries import first
 
