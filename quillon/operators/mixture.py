@@ -18,9 +18,10 @@ def em_1d(df: DataFrame, value: str, means, variances, weights, rounds: int) ->
     m, v, w = list(means), list(variances), list(weights)
     x = F.col(value).cast("double")
     for _ in range(rounds):
-        dens = [F.lit(w[k] / math.sqrt(2 * math.pi * v[k])) * F.exp(-(x - m[k]) * (x - m[k]) / (2 * v[k])) for k in range(len(m))]
-        total = sum(dens[1:], dens[0])
-        sums = [s for d in dens for r in [d / total] for s in (F.sum(r), F.sum(r * x), F.sum(r * x * x))]
+        # logarithms, so that far values don't make 0 / 0
+        log = [math.log(w[k]) - 0.5 * math.log(2 * math.pi * v[k]) - (x - m[k]) * (x - m[k]) / (2 * v[k]) for k in range(len(m))]
+        share = [1 / sum((F.exp(F.least(o - own, F.lit(700.0))) for o in log), F.lit(0.0)) for own in log]
+        sums = [s for r in share for s in (F.sum(r), F.sum(r * x), F.sum(r * x * x))]
         row = df.agg(F.count(x), *sums).first()
         for k in range(len(m)):
             n, s, q = row[1 + 3 * k : 4 + 3 * k]

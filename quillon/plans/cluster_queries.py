@@ -171,8 +171,9 @@ def gp(spark, sf_dir):
 def _em(steps: int) -> str:
     ctes = ["x as (select value v from events)", "t0 as (select 10.0::double m1, 60.0::double m2, 100.0::double v1, 100.0::double v2, 0.5::double w1, 0.5::double w2)"]
     for k in range(steps):
-        ctes.append(f"r{k} as (select v, w1 / sqrt(2 * pi() * v1) * exp(-(v - m1) * (v - m1) / (2 * v1)) a, w2 / sqrt(2 * pi() * v2) * exp(-(v - m2) * (v - m2) / (2 * v2)) b from x, t{k})")
-        ctes.append(f"s{k} as (select count(*) n, sum(a / (a + b)) n1, sum(a / (a + b) * v) s1, sum(a / (a + b) * v * v) q1, sum(b / (a + b)) n2, sum(b / (a + b) * v) s2, sum(b / (a + b) * v * v) q2 from r{k})")
+        ctes.append(f"g{k} as (select v, ln(w2) - 0.5 * ln(2 * pi() * v2) - (v - m2) * (v - m2) / (2 * v2) - (ln(w1) - 0.5 * ln(2 * pi() * v1) - (v - m1) * (v - m1) / (2 * v1)) g from x, t{k})")
+        ctes.append(f"r{k} as (select v, 1 / (1 + exp(least(g, 700))) a, 1 / (1 + exp(least(-g, 700))) b from g{k})")
+        ctes.append(f"s{k} as (select count(*) n, sum(a) n1, sum(a * v) s1, sum(a * v * v) q1, sum(b) n2, sum(b * v) s2, sum(b * v * v) q2 from r{k})")
         ctes.append(f"t{k + 1} as (select s1 / n1 m1, s2 / n2 m2, q1 / n1 - (s1 / n1) ** 2 v1, q2 / n2 - (s2 / n2) ** 2 v2, n1 / n w1, n2 / n w2 from s{k})")
     return f"with {', '.join(ctes)} select 0 as k, round(m1, 5) as mean, round(v1, 4) as variance, round(w1, 6) as weight from t{steps} union all select 1, round(m2, 5), round(v2, 4), round(w2, 6) from t{steps}"
 
