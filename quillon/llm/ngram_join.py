@@ -43,7 +43,7 @@ from ._words import Words, chunks, mix64, shingle_sets, text_buffers
 
 WIDTH = 5
 #: n-grams that one fragment is to hold; the number of fragments follows the data.
-FRAGMENT = 1_000_000
+FRAGMENT = 400_000
 #: Share of a set by which the prefix of the first support count is longer.
 LONGER = 0.2
 #: Parts into which a pair's sets are cut for the final counts.
