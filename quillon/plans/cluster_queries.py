@@ -164,8 +164,8 @@ def kernel_rows(spark, sf_dir):
 @query("gaussian_process")
 def gp(spark, sf_dir):
     e = vectors(spark, sf_dir)
-    model = gaussian_process.GaussianProcess.fit(e.orderBy("id").limit(100).select("id", "v", F.col("label").cast("double").alias("y")), gaussian_process.Kernel("rbf", 0.5), 1e-3)
-    return model.predict(e.select("id", "v")).select("id", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
+    out = gaussian_process.fit_predict(e.select("id", "v", F.col("label").cast("double").alias("y")), gaussian_process.Kernel("rbf", 0.5), 1e-3)
+    return out.select("id", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
 def _em(steps: int) -> str:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import cluster, decompose, gaussian_process, linear, mixture, network, neural, pairs, reinforcement, rules, sampling, sequence, tree
+from quillon.plans import cluster_queries
 from quillon.sources import readers
 from quillon.streaming import online
 
@@ -141,6 +142,23 @@ def test_gaussian_process(spark):
     assert local.count() == 30
 
 
+def test_gaussian_process_takes_all_rows(spark, tmp_path):
+    # labels of the rows after the first 100 ids matter, as one process and as local experts
+    rng = np.random.Generator(np.random.PCG64(4))
+    x, label = rng.uniform(-3, 3, (300, 2)), [0] * 150 + [5] * 150
+    x[:, 0] = np.where(np.arange(300) < 150, -1, 1) * (0.2 + np.abs(x[:, 0]))
+    spark.createDataFrame([(i, v, y) for i, (v, y) in enumerate(zip(x.tolist(), label))], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    k = gaussian_process.Kernel("rbf", 0.5)
+    whole = k(x, x)
+    want = whole @ np.linalg.solve(whole + 1e-3 * np.eye(300), np.array(label, float))
+    got = {r["id"]: r["mean"] for r in cluster_queries.gp(spark, str(tmp_path)).collect()}
+    assert np.allclose([got[i] for i in range(300)], want, atol=1e-3)
+    df = points(spark, x, y=[float(v) for v in label])
+    local = {r["id"]: (r["mean"], r["std"]) for r in gaussian_process.fit_predict(df, k, 1e-3, bounded=100, expert=60).collect()}
+    assert sorted(local) == list(range(300)) and all(s >= 0 for _, s in local.values())
+    assert np.mean(np.abs(np.array([local[i][0] for i in range(300)]) - np.array(label))) < 0.5
+
+
 def test_sampling(spark):
     d = sampling.diagnostics(sampling.metropolis(spark, lambda x: -0.5 * float(x @ x), [0.0], 3000, 2.0, 4, 1), 300).first()
     assert abs(d["mean"]) < 0.2 and d["variance"] == pytest.approx(1, abs=0.3) and d["r_hat"] < 1.1
