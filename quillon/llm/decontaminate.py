@@ -7,9 +7,11 @@
    of ``A.T @ (A @ G)`` for a fixed Gaussian G, term by term; the sum (terms by
    rank, whatever the corpus) is decomposed on the driver.  Directions are
    scaled by their singular values, so common wording doesn't outweigh the rest.
-3. Latent vectors are added up over blocks of four words, and blocks to windows
-   of three widths at strides of a quarter.  Each benchmark item is compared by
-   cosine to the windows of the width nearest to its own length.
+3. Latent vectors are added up over blocks of two words, and blocks to windows
+   of four widths at strides of a quarter.  Each benchmark item is compared by
+   cosine to the windows of the width nearest to its own length, those of the
+   least width also to the next.  Items of fewer than ``SHORT`` words are besides
+   looked up word for word (cosine 1), as a window's other words may drown them.
 4. Candidates with enough of the item's words are read again around the window:
    the longest common subsequence must cover ``LCS`` of the item's words and
    ``ANSWER`` of its last quarter (where an answer stands), in order.
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Workspace
-from ._words import Words, chunks, text_buffers
+from ._words import Words, chunks, rolling, text_buffers
 
 DIMS = 4096
 RANK = 128
 PASSAGE = 32
-WIDTHS = (16, 32, 64)
+WIDTHS = (8, 16, 32, 64)
 COSINE = 0.5
 LCS = 0.6
 ANSWER = 0.5
@@ -185,6 +187,11 @@ class _Items:
             self.has[k, np.searchsorted(self.vocabulary, w)] = True
         bounds = np.sqrt(np.array(WIDTHS[:-1]) * np.array(WIDTHS[1:]))
         self.width = np.searchsorted(bounds, self.sizes)
+        #: Words of short items -> hash of their run -> the items.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k in np.flatnonzero(self.sizes < SHORT).tolist():
+            size = int(self.sizes[k])
+            self.short.setdefault(size, {}).setdefault(int(rolling(self.words[k], size)[0]), []).append(k)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = LCS, answer: float = ANSWER, dims: int = DIMS, rank: int = RANK) -> DataFrame:
@@ -215,17 +222,18 @@ def _search(shared, cosine, least, answer, dims):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out = [], [], [], [], []
+            lowest = int(items.width.min()) if len(items.ids) else 0
             for i, words, hashes in _parts(batch) if len(items.ids) else ():
                 padded, _, first = _padded(words, _terms(hashes, dims), WIDTHS[-1] // 4, WIDTHS[-1] * 3 // 4, dims)
-                block = _summed(vectors, padded.reshape(-1, WIDTHS[0] // 4))
+                block = _summed(vectors, padded.reshape(-1, WIDTHS[lowest] // 4))
                 at = np.searchsorted(items.vocabulary, hashes)
                 at[(at < len(items.vocabulary)) & (items.vocabulary[np.minimum(at, len(items.vocabulary) - 1)] != hashes)] = len(items.vocabulary)
                 best: dict = {}
-                for k, width in enumerate(WIDTHS):
+                for k, width in enumerate(WIDTHS[lowest:], lowest):
                     stride = width // 4
-                    if k:  # blocks of twice the words
+                    if k > lowest:  # blocks of twice the words
                         block = block[0::2] + block[1::2]
-                    mine = np.flatnonzero(items.width == k)
+                    mine = np.flatnonzero((items.width == k) | ((items.width == 0) & (k == 1)))
                     if not len(mine):
                         continue
                     window = block[:-3] + block[1:-2]
@@ -251,6 +259,15 @@ def _search(shared, cosine, least, answer, dims):
                     some = common >= 0.5 * least * np.minimum(items.sizes[item], end[w] - begin[w])
                     for x, y, c in zip(w[some].tolist(), item[some].tolist(), near[w[some], m[some]].tolist()):
                         best.setdefault((int(doc[x]), y), []).append((int(begin[x]), int(end[x]), c))
+                for size, known in items.short.items():
+                    runs = rolling(hashes, size)
+                    at_run = np.flatnonzero(np.isin(runs, np.array(list(known), np.uint64)))
+                    doc = np.searchsorted(words.first_word, at_run, side="right") - 1
+                    inside = at_run + size <= words.first_word[doc + 1]
+                    for d, h in set(zip(doc[inside].tolist(), runs[at_run[inside]].tolist())):
+                        for y in known[h]:
+                            for o, v in zip(out, (ids[i + d], items.ids[y], 1.0, 1.0, 1.0)):
+                                o.append(v)
                 for (d, y), spans in best.items():
                     size = int(items.sizes[y])
                     low, high = int(words.first_word[d]), int(words.first_word[d + 1])

@@ -337,6 +337,24 @@ def test_decontaminate(spark):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    # one to eleven words, word for word in long prose, across lines and at both ends
+    items = {n: " ".join(f"q{n}x{j}{w}" for j, w in enumerate(prose(900 + n, n).split())) for n in range(1, 12)}
+    texts = {i: prose(2000 + i, 150 + i) for i in range(40)}
+    planted = set()
+    for n, item in items.items():
+        for k in range(4):
+            a, b = prose(3000 + 20 * n + k, 150).split(), prose(4000 + 20 * n + k, 110).split()
+            d = 100 + 10 * n + k
+            texts[d] = [" ".join([*a, item.upper(), *b]), " ".join([item, *b]), " ".join([*a, item]), " ".join(a) + "\n" + item.replace(" ", "\n") + "\t" + " ".join(b)][k]
+            planted.add((d, n))
+    texts[90] = items[5].rsplit(" ", 1)[0]  # not whole, and the next text begins with its last word
+    texts[91] = items[5].split()[-1] + " more"
+    bench = spark.createDataFrame([(k, t) for k, t in [*items.items(), (50, items[4])]], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.find(frame(spark, texts).coalesce(1), bench))}
+    assert got == planted | {(d, 50) for d, n in planted if n == 4}
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(50):
