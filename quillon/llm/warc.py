@@ -7,8 +7,9 @@ repeated task does no harm.
 
 Reader: files are cut into byte ranges and dealt to tasks.  A task looks for
 the gzip magic from the start of its range, takes a candidate for a member only
-if its first bytes inflate to a WARC header, and owns the records that start
-inside its range, reading on past its end for the last of them.
+if its first bytes inflate to the begin of a WARC header of any length, and owns
+the records that start inside its range, reading on past its end for the last of
+them.  A round trip fails unless it reads as many records as it wrote.
 
 Of records with equal payloads of ``REVISIT`` bytes or more, that with the
 smallest page_id is a response and the others revisit it; smaller ones are all
@@ -39,7 +40,7 @@ FILE_BYTES = 64 << 20
 #: Bytes of a reader's range.
 RANGE_BYTES = 4 << 20
 MAGIC = b"\x1f\x8b\x08"
-#: Inflated bytes in which a header must end.
+#: Bytes, inflated and not, by which a record is known.
 HEADER_BYTES = 1 << 16
 
 
@@ -104,7 +105,7 @@ def _member(read, at: int, size: int, first: bytes):
     inflate = zlib.decompressobj(31)
     try:
         head = inflate.decompress(first, HEADER_BYTES)
-        if not head.startswith(b"WARC/1.") or b"\r\n\r\n" not in head:
+        if not head.startswith(b"WARC/1."):
             return None
         parts, used = [head], len(first)
         while not inflate.eof:
@@ -194,4 +195,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as WARC files and reads them back; see read()."""
     work = Workspace(pages.sparkSession, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return read(pages.sparkSession, write(work, pages))
+    files = write(work, pages)
+    out = work.table(read(pages.sparkSession, files), "records")
+    written, found = files.agg(F.sum("records")).first()[0] or 0, out.count()
+    if found != written:
+        raise ValueError(f"{written} records were written and {found} read")
+    return out

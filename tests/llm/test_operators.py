@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -378,6 +379,18 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_long_urls(spark, monkeypatch):
+    rng = random.Random(8)
+    urls = {1: "http://h/" + "\u6f22" * 8000, 2: "data:," + "".join(rng.choices("abcdefghij0123456789", k=300_000)), 3: "http://h/" + "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30_000)), 4: "http://h/"}
+    pages = spark.createDataFrame([(i, u, make(i, 50)) for i, u in urls.items()], "page_id long, url string, html string").repartition(2)
+    got = {r["page_id"]: r["url"] for r in rows_of(warc.round_trip(pages))}
+    assert got == {i: quote(u, safe=":/?#[]@!$&()*+,;=%~") for i, u in urls.items()}
+    whole = warc.read
+    monkeypatch.setattr(warc, "read", lambda *a: whole(*a).where("page_id <> 2"))
+    with pytest.raises(ValueError, match="4 records were written and 3 read"):
+        warc.round_trip(pages)
+
+
 @pytest.mark.parametrize("size", [64, 1000, 1 << 20])
 def test_warc_ranges(spark, size):
     pages = spark.createDataFrame([(i, "http://h/", make(i, i * 7)) for i in range(60)], "page_id long, url string, html string").repartition(2)
