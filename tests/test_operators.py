@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import cluster, decompose, gaussian_process, linear, mixture, network, neural, pairs, reinforcement, rules, sampling, sequence, tree
-from quillon.plans import cluster_queries
+from quillon.plans import cluster_queries, model_queries
 from quillon.sources import readers
 from quillon.streaming import online
 
@@ -118,6 +118,19 @@ def test_apriori(spark):
     assert rules.itemsets(spark.createDataFrame([], "txn int, item string")).count() == 0
 
 
+def test_itemsets_of_any_size(spark, tmp_path):
+    sets = rules.itemsets(spark.createDataFrame([(t, f"i{k}") for t in range(3) for k in range(9)], "txn int, item string"), 0.5)
+    assert sets.count() == 2**9 - 1
+    # a bundle of five brands in every other order
+    lines = [(t, p) for t in range(10) for p in (range(5) if t % 2 else (5 + t // 2,))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, f"B{p}") for p in range(10)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["itemset"]: r["n"] for r in model_queries.itemsets(spark, str(tmp_path)).collect()}
+    assert got["B0,B1,B2,B3,B4"] == 5 and sum(n == 5 for n in got.values()) == 2**5 - 1
+    found = {(r["antecedent"], r["consequent"]) for r in model_queries.basket_rules(spark, str(tmp_path)).collect()}
+    assert ("B0,B1", "B2,B3,B4") in found and len(found) == 3**5 - 2 * 2**5 + 1
+
+
 def test_sequences(spark):
     model = sequence.HMM(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[0.8, 0.1, 0.1], [0.1, 0.1, 0.8]]))
     df = spark.createDataFrame([(1, t, o) for t, o in enumerate([0, 0, 0, 2, 2, 2, 0, 0])], "seq_id long, t int, obs int")
