@@ -8,6 +8,13 @@ coefficient d only with templates of b * d / (2 - d) to b * (2 - d) / d
 bigrams; others are never compared, and units too short for the shortest
 template or too long for the longest are dropped before any comparison.
 
+Notices inside other prose are found by windows: a run of as many words of the
+whole text as a template has, beginning with one of its bigrams or ending the
+text, compared like a unit.  Two thirds of a template's bigrams at least are in
+such a window, so templates of which a text has fewer are dropped first.
+Overlapping windows give way to the best of them, and a licence that no unit
+has counts once more, with its best window.
+
 A unit's licence is that of its best template (ties: the alphabetically last
 id).  Equal units of a document count once.  Null and empty texts have none.
 Null doc_ids and repeated rows are kept; other columns are ignored.  An empty
@@ -52,8 +59,12 @@ TEMPLATES = [
 ]
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def _bigrams(text: str) -> list[str]:
-    words = re.findall(r"[^\W_]+", text.lower())
+    words = _words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
@@ -77,7 +88,47 @@ def scan(docs: DataFrame, least: float = LEAST, templates=tuple(TEMPLATES), text
         scored = F.transform(near, lambda x: F.struct((2.0 * F.size(F.array_intersect(p, x["bigrams"])) / (F.size(p) + x["n"])).alias("dice"), x["licence"].alias("licence")))
         return F.array_max(F.filter(scored, lambda s: s["dice"] >= least - 1e-12))
 
-    return docs.withColumn("licence_pairs", pairs).withColumn("licence_hits", F.filter(F.transform("licence_pairs", best), lambda x: x.isNotNull())).drop("licence_pairs")
+    out = docs.withColumn("licence_pairs", pairs).withColumn("licence_run", _run(t)).withColumn("licence_units", F.filter(F.transform("licence_pairs", best), lambda x: x.isNotNull()))
+    inside = F.filter(_windows(F.col("licence_run"), least, templates), lambda x: ~F.array_contains("licence_units.licence", x["licence"]))
+    return out.withColumn("licence_hits", F.concat("licence_units", inside)).drop("licence_pairs", "licence_run", "licence_units")
+
+
+def _run(t):
+    """Bigrams of the whole text, in order."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.element_at(F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))), 1)
+
+
+def _windows(run, least: float, templates):
+    """array<struct<dice, licence>> of the licences of windows, one of each."""
+    known = [(name, _bigrams(x), len(_words(x)) - 1) for name, x in templates]
+    every = F.array(*map(F.lit, dict.fromkeys(p for _, b, _ in known for p in b)))
+    table = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n"), F.lit(size).alias("size")) for name, b, size in known])
+    # c >= d / 2 * (c + n) for c common bigrams
+    share = least / (2 - least)
+    spans = "array<struct<dice:double,licence:string,begin:int,end:int>>"
+
+    def scored(x):
+        last = F.size(run) - x["size"]
+        begins = F.filter(F.transform(run, lambda p, i: F.when((i <= last) & ((i == last) | F.array_contains(x["bigrams"], p)), i)), lambda i: i.isNotNull())
+
+        def one(i):
+            return F.transform(F.array(F.array_distinct(F.slice(run, i + 1, x["size"]))), lambda w: F.struct((2.0 * F.size(F.array_intersect(w, x["bigrams"])) / (F.size(w) + x["n"])).alias("dice"), x["licence"].alias("licence"), i.alias("begin"), (i + x["size"] + 1).alias("end")))[0]
+
+        return F.filter(F.transform(begins, one), lambda w: w["dice"] >= least - 1e-12)
+
+    def apart(found):
+        # best first; begins negated so that the first of equals comes first
+        order = F.reverse(F.array_sort(F.transform(found, lambda w: F.struct(w["dice"].alias("dice"), w["licence"].alias("licence"), (-w["begin"]).alias("back"), w["end"].alias("end")))))
+        kept = F.aggregate(order, F.array().cast(spans), lambda acc, w: F.when(F.exists(acc, lambda k: (k["begin"] < w["end"]) & (-w["back"] < k["end"])), acc).otherwise(F.concat(acc, F.array(F.struct(w["dice"].alias("dice"), w["licence"].alias("licence"), (-w["back"]).alias("begin"), w["end"].alias("end"))))))
+        return F.transform(F.array(kept), lambda k: F.transform(F.array_distinct(F.transform(k, lambda w: w["licence"])), lambda n: F.struct(F.array_max(F.transform(F.filter(k, lambda w: w["licence"] == n), lambda w: w["dice"])).alias("dice"), n.alias("licence"))))[0]
+
+    def of(had):
+        near = F.filter(table, lambda x: F.size(F.array_intersect(had, x["bigrams"])) >= x["n"] * share - 1e-9)
+        return F.transform(F.array(F.flatten(F.transform(near, scored))), apart)[0]
+
+    none = F.array().cast("array<struct<dice:double,licence:string>>")
+    return F.coalesce(F.transform(F.array(F.array_intersect(run, every)), lambda had: F.when(F.size(had) >= 1, of(had)).otherwise(none))[0], none)
 
 
 def report(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:

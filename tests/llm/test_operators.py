@@ -417,6 +417,17 @@ def test_license_scan(spark):
     assert license_scan.report(frame(spark, {}).limit(0)).count() == 0
 
 
+def test_license_scan_inside_prose(spark):
+    a, b = make(11, 300), make(12, 200)
+    texts = {1: "This project is licensed under the MIT License.", 2: "Copyright (c) 2021 Jane Doe. All rights reserved.", 3: f"{a} all rights reserved {b}", 4: f"{a} This work is licensed under the GNU Lesser General Public License, version 3. {b}", 5: f"{a} Licensed under CC BY-NC\n4.0. {b} Released under the MIT License. {b} licensed under the MIT license", 6: f"{a} all rights {b} reserved", 7: "all rights"}
+    texts |= {20 + k: f"{a} {t} {b}" for k, (_, t) in enumerate(license_scan.TEMPLATES)}
+    got = {r["doc_id"]: r for r in rows_of(license_scan.report(frame(spark, texts)))}
+    want = {1: "MIT", 2: "proprietary", 3: "proprietary", 4: "LGPL-3.0", 5: "CC-BY-NC-4.0,MIT", 6: "", 7: ""}
+    assert {i: got[i]["licences"] for i in want} == want
+    assert got[5]["n_hits"] == 2 and got[3]["dice"] == 1.0
+    assert [got[20 + k]["licences"] for k in range(len(license_scan.TEMPLATES))] == [n for n, _ in license_scan.TEMPLATES]
+
+
 def test_url_filter(spark):
     from datetime import datetime as D
 
