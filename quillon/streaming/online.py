@@ -9,12 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import TimestampNTZType
+
+
+def watermarked(events: DataFrame, late: str, ts: str = "ts") -> DataFrame:
+    """events with a watermark; an event time without a zone is one of the session's zone."""
+    if isinstance(events.schema[ts].dataType, TimestampNTZType):
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    return events.withWatermark(ts, late)
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Counts and sums by type in tumbling or sliding windows, batch or stream."""
     if late:
-        events = events.withWatermark("ts", late)
+        events = watermarked(events, late)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
@@ -22,7 +30,7 @@ def windowed(events: DataFrame, size: str, slide: str | None = None, late: str |
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """Sessions of each user: a gap ends one."""
     if late:
-        events = events.withWatermark("ts", late)
+        events = watermarked(events, late)
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
@@ -47,7 +55,7 @@ def kalman_stream(events: DataFrame, q: float = 1e-2, r: float = 1.0, late: str
         state.update((json.dumps([n, x, p, last, dropped]),))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "x": [x], "p": [p], "late": [dropped]})
 
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, x double, p double, late long", "state string", "update", GroupStateTimeout.NoTimeout)
+    return watermarked(events, late).groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, x double, p double, late long", "state string", "update", GroupStateTimeout.NoTimeout)
 
 
 def kalman_batch(values: np.ndarray, q: float = 1e-2, r: float = 1.0) -> tuple[float, float]:
