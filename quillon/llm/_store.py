@@ -10,14 +10,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
 #: Rows of an Arrow batch; with long documents the default of 10,000 is too much.
 BATCH_ROWS = 1000
-#: A side is broadcast only below both of these, which are checked on the written table.
-BROADCAST_ROWS = 2_000_000
+#: A side is broadcast only below all of these, which are checked on the written
+#: table: its file bytes, its rows, and its bytes as rows in memory.
 BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 1_000_000
+BROADCAST_WIDE = 128 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(df: DataFrame) -> Column:
+    """64-bit hash of a row's columns; rows that are equal throughout share it."""
+    return F.xxhash64(*(F.to_json(f"`{f.name}`") if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
 class Workspace:
     """A folder of tables for one run of one operator."""
 
@@ -60,10 +79,26 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
+    def wide(self, df: DataFrame) -> tuple[int, int]:
+        """Rows of a table and about their bytes in memory, however well they are packed in files."""
+        fixed, loose = 24, []
+        for f in df.schema.fields:
+            if isinstance(f.dataType, (StringType, BinaryType)):
+                loose.append(F.octet_length(f.name))
+            elif isinstance(f.dataType, (ArrayType, MapType)):
+                inner = f.dataType.elementType if isinstance(f.dataType, ArrayType) else None
+                loose.append(F.size(f.name) * (16 + 8 * len(getattr(inner, "fields", ()))))
+            fixed += 8 * max(1, len(getattr(f.dataType, "fields", ())))
+        more = sum((F.coalesce(F.sum(c.cast("long")), F.lit(0)) for c in loose), F.lit(0))
+        n, size = df.agg(F.count("*"), more).first()
+        return n, n * fixed + size
+
     def small(self, df: DataFrame) -> DataFrame:
         """A written table with a broadcast hint if its size allows, else as it is."""
-        if self.size(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS:
-            return F.broadcast(df)
+        if self.size(df) <= BROADCAST_BYTES:
+            rows, size = self.wide(df)
+            if rows <= BROADCAST_ROWS and size <= BROADCAST_WIDE:
+                return F.broadcast(df)
         return df
 
 
