@@ -3,7 +3,12 @@
 A document is its token ids and a closing id.  Only one longer than a sequence
 is cut, from the end, so that its first piece alone may be shorter.
 
-1. Texts are tokenised once; the pieces (not the ids) are written.
+1. Texts are tokenised once; the pieces (not the ids) are written.  A byte-level
+   vocabulary's words (in its own pattern's sense) are looked up among those that
+   the worker has met; only others go through the vocabulary's merges.  A text
+   that holds a special token or characters beyond ``_PLAIN``, of which programs
+   might disagree whether they are letters or white space, and every text of
+   another kind of vocabulary, goes through the tokenizer as it is.
 2. The histogram of piece lengths, one number for each length, goes to the
    driver.  Patterns of one to three lengths that fill a sequence exactly are
    enumerated; their repeat counts are fitted to the histogram by non-negative
@@ -22,11 +27,15 @@ like others.  An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import json
+import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,30 +43,80 @@ from ._store import Workspace
 
 LENGTH = 1024
 CLOSING = 2
-#: Folder of the vocabulary files.
-VOCABULARY = "/opt/tokenizers"
+#: Vocabulary: a file of the installed package, or a path.
+VOCABULARY = "byte_bpe_50k.json"
 #: Steps of the least-squares fit.
 STEPS = 400
+#: Words whose ids a worker keeps; beyond them it begins anew.  Longer ones aren't kept.
+KNOWN, LONG = 300_000, 64
+#: Characters whose kind is the same in all versions of Unicode.
+_PLAIN = re.compile("[\0-\x1b\x20-\x84\x86-\x9f\xa1-\u024f\u2010-\u2027\u2030-\u205e\u4e00-\u9fa5\U0001f300-\U0001f64f]*")
+# Fixed value: the pattern of byte-level vocabularies.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _encoders: dict = {}
 
 
-def encoder(folder: str = VOCABULARY):
-    """The ids of byte_bpe_50k.json; the same vocabulary, as ranks, is faster to apply."""
-    if folder not in _encoders:
-        import tiktoken
-
-        with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _encoders[folder] = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[folder]
-
-
-def pieces(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, folder: str = VOCABULARY) -> DataFrame:
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as they are and
+    the others, in order, as code points from 256."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
+class Encoder:
+    """Token ids of texts by a vocabulary file of the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks have a core each
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        made = json.loads(self.tokenizer.to_str())
+        before = made["pre_tokenizer"] or {}
+        self.by_word = made["model"]["type"] == "BPE" and not made["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.letters = _byte_letters()
+        self.known: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def __call__(self, text: str) -> list[int]:
+        if not self.by_word or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        words, known = _WORDS.findall(text), self.known
+        if len(known) > KNOWN:
+            known.clear()
+        new = {w for w in words if w not in known}
+        for w in new:
+            known[w] = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
+        ids = list(chain.from_iterable([known[w] for w in words]))
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return ids
+
+
+def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+    """``vocabulary`` is a path, or the name of a file of the installed package."""
+    if vocabulary not in _encoders:
+        if "/" in vocabulary:
+            path = vocabulary
+        else:
+            import public_tokenizers
+
+            path = str(public_tokenizers.path(vocabulary))
+        _encoders[vocabulary] = Encoder(path)
+    return _encoders[vocabulary]
+
+
+def pieces(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of docs (doc_id, text)."""
 
     def rows(batches):
-        encode = encoder(folder).encode_ordinary
+        encode = encoder(vocabulary)
         for batch in batches:
             out = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -164,11 +223,11 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[in
     return runs, sequences
 
 
-def pack(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, folder: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     work = Workspace(docs.sparkSession, "packing")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = work.table(pieces(docs, length, closing, folder).withColumn("part", F.spark_partition_id()), "pieces")
+    made = work.table(pieces(docs, length, closing, vocabulary).withColumn("part", F.spark_partition_id()), "pieces")
     counts = work.table(made.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     # one row for each length
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
