@@ -34,7 +34,7 @@ def op5(spark, sf_dir):
 
 @query("op3_minhash_fingerprints")
 def op3(spark, sf_dir):
-    return minhash.chained(table(spark, sf_dir, "documents"))
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
 @query("op8_substring_dedup")
