@@ -9,7 +9,17 @@ Reader: files are cut into byte ranges and dealt to tasks.  A task looks for
 the gzip magic from the start of its range, takes a candidate for a member only
 if its first bytes inflate to the begin of a WARC header of any length, and owns
 the records that start inside its range, reading on past its end for the last of
-them.  A round trip fails unless it reads as many records as it wrote.
+them.  A range may begin inside a record that holds an archive itself; what is
+found there lies before the end of a record of an earlier range and is dropped.
+
+Records of any type are read: of ``application/http`` blocks the payload is what
+follows the HTTP header, of others the whole block, as stored (content and
+transfer encodings aren't undone).  payload_digest is the SHA-256 of the payload
+that is there, or for a revisit the one declared; a declared digest is checked
+if its algorithm is known.  A damaged or cut-off member, a block shorter than
+declared and a wrong digest are reported in the column ``error``; such a record
+is a row like others, with what could be read of it.  A round trip fails unless
+it reads as many records as it wrote, without errors.
 
 Of records with equal payloads of ``REVISIT`` bytes or more, that with the
 smallest page_id is a response and the others revisit it; smaller ones are all
@@ -21,6 +31,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -99,31 +110,32 @@ def write(work: Workspace, pages: DataFrame) -> DataFrame:
     return work.table(pages.mapInArrow(rows, "path string, bytes long, records long"), "files")
 
 
-def _member(read, at: int, size: int, first: bytes):
-    """(inflated record, its compressed length) of the member at ``at``, or
+def _member(read, at: int, first: bytes):
+    """(inflated bytes, compressed length, error) of the member at ``at``, or
     None if no record starts there.  read(offset, n) gives bytes of the file."""
-    inflate = zlib.decompressobj(31)
+    inflate, parts, used = zlib.decompressobj(31), [], len(first)
     try:
-        head = inflate.decompress(first, HEADER_BYTES)
-        if not head.startswith(b"WARC/1."):
+        parts.append(inflate.decompress(first, 64))
+        if not parts[0].startswith(b"WARC/"):
             return None
-        parts, used = [head], len(first)
+        step = 1 << 10  # small at first, for what comes before a damage in the step is kept
         while not inflate.eof:
+            step = min(2 * step, 1 << 22)
             if inflate.unconsumed_tail:
-                parts.append(inflate.decompress(inflate.unconsumed_tail, 1 << 22))
+                parts.append(inflate.decompress(inflate.unconsumed_tail, step))
             else:
                 more = read(at + used, 1 << 18)
                 if not more:
-                    raise ValueError(f"the file ends within the record at {at}")
+                    return b"".join(parts), used, "the file ends within the record"
                 used += len(more)
-                parts.append(inflate.decompress(more, 1 << 22))
-        return b"".join(parts), used - len(inflate.unused_data)
-    except zlib.error:
-        return None
+                parts.append(inflate.decompress(more, step))
+        return b"".join(parts), used - len(inflate.unused_data), None
+    except zlib.error as wrong:
+        return (b"".join(parts), len(MAGIC), f"damaged: {wrong}") if parts else None
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").splitlines()[1:])}
 
 
 def _page(value: str | None):
@@ -131,73 +143,136 @@ def _page(value: str | None):
     return int(found[1]) if found else None
 
 
-def records(path: str, begin: int, end: int, size: int):
-    """(page_id, payload length, digest, type, refers_to, url, payload) of the
-    records that start in [begin, end) of a file."""
+def _declared(value: str | None):
+    """(algorithm, bytes) of a declared digest in hex or base32; (None, None) if it can't be read."""
+    name, _, text = (value or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    try:
+        size = hashlib.new(name).digest_size
+        text = text.strip()
+        got = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+        return (name, got) if len(got) == size else (None, None)
+    except (ValueError, TypeError):
+        return None, None
+
+
+def _split(raw: bytes):
+    """Header and what follows its empty line."""
+    found = re.search(rb"\r?\n\r?\n", raw)
+    return (raw[: found.start()], raw[found.end() :]) if found else (raw, b"")
+
+
+NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "error", "payload"]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, error string, payload binary"
+
+
+def _parsed(raw: bytes, error: str | None):
+    """Rows (see NAMES) of the records of a member; one, but for members that hold several."""
+    while True:
+        head, rest = _split(raw)
+        fields = _fields(head)
+        own = fields.get("content-length", "")
+        size = int(own) if own.isascii() and own.isdigit() else len(rest.removesuffix(b"\r\n\r\n"))
+        block, rest = rest[:size], rest[size:]
+        if not error and len(block) < size:
+            error = "the block is shorter than declared"
+        kind, content = fields.get("warc-type"), fields.get("content-type", "").lower()
+        http, payload = (block, block)
+        if content.startswith("application/http") or (not content and block.startswith(b"HTTP/")):
+            http, payload = _split(block)
+        n, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        algorithm, told = _declared(fields.get("warc-payload-digest"))
+        if kind == "revisit":  # the payload is another record's
+            length = _fields(http).get("content-length", "")
+            n = int(length) if length.isascii() and length.isdigit() else None
+            digest, payload = (told.hex() if algorithm == "sha256" else None), None
+        elif not error and algorithm and hashlib.new(algorithm, payload).digest() != told:
+            error = "the payload doesn't have its digest"
+        yield _page(fields.get("warc-record-id")), n, digest, kind, _page(fields.get("warc-refers-to")), fields.get("warc-target-uri"), fields.get("warc-record-id"), error, payload
+        raw = rest.lstrip(b"\r\n")
+        if error or not raw.startswith(b"WARC/"):
+            return
+
+
+def records(path: str, begin: int, end: int, size: int, payload: bool = True):
+    """(start, stop, *NAMES) of the records that start in [begin, end) of a file."""
     fs, name = _open(path)
     with fs.open_input_file(name) as f:
+        f.seek(begin)
+        data = f.read(min(size, end + HEADER_BYTES) - begin)
 
         def read(offset, n):
+            if begin <= offset and offset + n <= begin + len(data):
+                return data[offset - begin : offset - begin + n]
             f.seek(offset)
             return f.read(max(0, min(n, size - offset)))
 
-        data = read(begin, end - begin + HEADER_BYTES)
         at = begin
-        while True:
+        while at < end:
             at = data.find(MAGIC, at - begin) + begin
             if at < begin or at >= end:
                 return
-            got = _member(read, at, size, data[at - begin : at - begin + HEADER_BYTES])
+            got = _member(read, at, read(at, HEADER_BYTES))
             if got is None:
                 at += 1
                 continue
-            raw, length = got
-            head, _, rest = raw.partition(b"\r\n\r\n")
-            fields = _fields(head)
-            block = rest[: int(fields["content-length"])]
-            http, _, payload = block.partition(b"\r\n\r\n")
-            kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-            if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError(f"{path}: the record at {at} doesn't have its digest")
-            n = int(_fields(http)["content-length"])
-            yield _page(fields["warc-record-id"]), n, digest, kind, _page(fields.get("warc-refers-to")), fields["warc-target-uri"], payload
+            raw, length, error = got
+            for r in _parsed(raw, error):
+                yield (at, at + length, *(r if payload else r[:-1]))
             at += length
-            if at >= end:
-                return
 
 
-def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool = False) -> DataFrame:
-    """Records of files (path, bytes): page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url, and the payload of responses if asked for."""
+def _ranges(files: DataFrame, range_bytes: int, payload: bool) -> DataFrame:
+    """path, begin, start, stop and the columns NAMES of the records of all ranges."""
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("begin"))
     ranges = ranges.repartition(max(1, min(100_000, ranges.count())))
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payload
-    names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    schema = "path string, begin long, start long, stop long, " + (SCHEMA if payload else SCHEMA.removesuffix(", payload binary"))
+    names, types = [x.split()[0] for x in schema.split(", ")], [pa.string(), pa.int64(), pa.int64(), pa.int64(), *TYPES]
 
     def rows(batches):
         for batch in batches:
             for path, size, begin in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "begin"))):
                 held, weight = [], 0
-                for r in records(path, begin, min(size, begin + range_bytes), size):
-                    held.append(r)
-                    weight += len(r[-1])
+                for r in records(path, begin, min(size, begin + range_bytes), size, payload):
+                    held.append((path, begin, *r))
+                    weight += 200 + (len(r[-1] or b"") if payload else 0)
                     if weight > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)][: len(names)], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
                         held, weight = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)][: len(names)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
     return ranges.mapInArrow(rows, schema)
 
 
+def read(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool = False) -> DataFrame:
+    """Records of files (path, bytes): page_id, payload_bytes, payload_digest,
+    record_type, refers_to, url, record_id, error, and the payload if asked for.
+
+    Files are read once, and once more if payloads are asked for: what ranges
+    hold of records of earlier ones must be known first.
+    """
+    work = Workspace(spark, "warc-read")
+    found = work.table(_ranges(files, range_bytes, False), "records")
+    reach = found.groupBy("path", "begin").agg(F.max("stop").alias("reach")).where(F.col("reach") > F.col("begin") + range_bytes)
+    covered = reach.withColumn("begin", F.explode(F.sequence(F.col("begin") + range_bytes, F.col("reach") - 1, F.lit(range_bytes))))
+    covered = work.table(covered.groupBy("path", "begin").agg(F.max("reach").alias("reach")), "covered")
+    rows = _ranges(files, range_bytes, True) if payload else found
+    rows = rows.join(work.small(covered), ["path", "begin"], "left").where("reach is null or start >= reach")
+    return rows.select(*NAMES[: len(NAMES) if payload else -1])
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as WARC files and reads them back; see read()."""
     work = Workspace(pages.sparkSession, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     files = write(work, pages)
-    out = work.table(read(pages.sparkSession, files), "records")
+    out = read(pages.sparkSession, files)
     written, found = files.agg(F.sum("records")).first()[0] or 0, out.count()
     if found != written:
         raise ValueError(f"{written} records were written and {found} read")
-    return out
+    wrong = out.where("error is not null").head(1)
+    if wrong:
+        raise ValueError(f"record {wrong[0]['record_id']}: {wrong[0]['error']}")
+    return out.drop("record_id", "error")
