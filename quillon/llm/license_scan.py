@@ -15,19 +15,26 @@ such a window, so templates of which a text has fewer are dropped first.
 Overlapping windows give way to the best of them, and a licence that no unit
 has counts once more, with its best window.
 
+A text is scanned at all only if it has one of the words that no match can do
+without: whatever two thirds of a template's bigrams are, one of them has one of
+its chosen words.
+
 A unit's licence is that of its best template (ties: the alphabetically last
 id).  Equal units of a document count once.  Null and empty texts have none.
-Null doc_ids and repeated rows are kept; other columns are ignored.  An empty
-table gives an empty result.
+Null doc_ids and repeated rows are kept; other columns are kept as they are.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import unused
+
 #: Least Dice coefficient.
 LEAST = 0.8
 
@@ -35,6 +42,7 @@ LEAST = 0.8
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -50,7 +58,9 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -58,6 +68,10 @@ TEMPLATES = [
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without permission."),
 ]
 
+# Licence identifiers, as files name them in one line.
+IDENTIFIERS = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS]
+
 
 def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
@@ -68,14 +82,35 @@ def _bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def scan(docs: DataFrame, least: float = LEAST, templates=tuple(TEMPLATES), text: str = "text") -> DataFrame:
-    """docs with ``licence_hits``: array<struct<dice, licence>> of the units with a licence."""
+def _needed(templates, least: float) -> list[str]:
+    """Words of which every text with a match has one.
+
+    A match has share = least / (2 - least) of a template's bigrams at least, so
+    one of any more than 1 - share of them; words are chosen, long ones first,
+    until the bigrams with one of them are as many.
+    """
+    share, chosen = least / (2 - least), set()
+    for _, text in templates:
+        bigrams = [set(b.split()) for b in _bigrams(text)]
+        few = len(bigrams) - math.ceil(share * len(bigrams) - 1e-9) + 1
+        for word in [*sorted(chosen), *sorted(_words(text), key=lambda w: (-len(w), w))]:
+            if sum(1 for b in bigrams if b & chosen) >= few:
+                break
+            chosen.add(word)
+    return sorted(chosen)
+
+
+def scan(docs: DataFrame, least: float = LEAST, templates=tuple(TEMPLATES), text: str = "text", out: str = "licence_hits") -> DataFrame:
+    """docs with the column ``out``: array<struct<dice, licence>> of the units with
+    a licence.  A column of docs with that name is replaced."""
     known = [(name, _bigrams(t)) for name, t in templates]
     low, high = least / (2 - least), (2 - least) / least
     fewest, most = min(len(b) for _, b in known) * low, max(len(b) for _, b in known) * high
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n")) for name, b in known])
 
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # other texts have no match: they count as empty from here on
+    t = F.when(F.lower(t).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_needed(templates, least))})(?![\p{{L}}\p{{N}}])"), t).otherwise(F.lit(""))
     units = F.array_distinct(F.concat(F.split(t, r"\R"), F.split(t, r"\R[\x20\t]*\R"), F.array(t)))
     normal = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), r"[^\p{L}\p{N}]+", " ")), " "))
     # b distinct bigrams need b + 1 words at least
@@ -88,9 +123,10 @@ def scan(docs: DataFrame, least: float = LEAST, templates=tuple(TEMPLATES), text
         scored = F.transform(near, lambda x: F.struct((2.0 * F.size(F.array_intersect(p, x["bigrams"])) / (F.size(p) + x["n"])).alias("dice"), x["licence"].alias("licence")))
         return F.array_max(F.filter(scored, lambda s: s["dice"] >= least - 1e-12))
 
-    out = docs.withColumn("licence_pairs", pairs).withColumn("licence_run", _run(t)).withColumn("licence_units", F.filter(F.transform("licence_pairs", best), lambda x: x.isNotNull()))
-    inside = F.filter(_windows(F.col("licence_run"), least, templates), lambda x: ~F.array_contains("licence_units.licence", x["licence"]))
-    return out.withColumn("licence_hits", F.concat("licence_units", inside)).drop("licence_pairs", "licence_run", "licence_units")
+    own, run, hit = unused([*docs.columns, out], "pairs", "run", "units")
+    found = docs.withColumn(own, pairs).withColumn(run, _run(t)).withColumn(hit, F.filter(F.transform(own, best), lambda x: x.isNotNull()))
+    inside = F.filter(_windows(F.col(run), least, templates), lambda x: ~F.array_contains(f"{hit}.licence", x["licence"]))
+    return found.withColumn(out, F.concat(hit, inside)).drop(own, run, hit)
 
 
 def _run(t):
