@@ -7,15 +7,19 @@ capture is judged by every key of its URL; of the entries in force at its fetch
 time the most specific wins (path prefixes before hosts, longer before
 shorter).
 
-The as-of join is an equi-join: an interval is listed under each month that it
-touches, a capture under its own, so a host with very many captures or entries
-is spread over months and, as a plain join, can be split by adaptive execution.
+The as-of join is an equi-join on a key and a cell of time: an interval is listed
+under the whole years inside it and the months at its ends, a capture under its
+month and its year, so they meet in one cell at most.  A host with very many
+captures or entries is spread over cells and, as a plain join, can be split by
+adaptive execution.
 
 URLs without a host (null, empty, no ``//``) and captures without a fetch time
 have no keys and get the verdict ``none``.  Entries with a null key, action or
 date are ignored; of entries of one key and instant the alphabetically last
 action holds.  Rows are judged each on its own, repeated or not.  Other columns
-of the captures are kept.
+of the captures are kept, but for those named verdict, matched_key or
+active_since, which the result replaces.  Without captures the result is empty,
+without entries all verdicts are ``none``.
 """
 
 from __future__ import annotations
@@ -54,24 +58,32 @@ def intervals(entries: DataFrame) -> DataFrame:
     return entries.select("key", "action", "since", F.coalesce(after, F.to_timestamp(F.lit(FAR))).alias("until"))
 
 
+def _month(time: Column) -> Column:
+    return F.year(time) * 12 + F.month(time) - 1
+
+
+def _cells(first: Column, last: Column) -> Column:
+    """Cells of the months first..last: whole years y as -1 - y, other months as they are."""
+    year, end = F.ceil(first / 12).cast("int"), F.floor((last + 1) / 12).cast("int")
+    months = lambda a, b: F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
+    years = F.transform(months(year, end - 1), lambda y: -1 - y)
+    return F.when(year < end, F.concat(months(first, year * 12 - 1), years, months(end * 12, last))).otherwise(months(first, last))
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with verdict, matched_key and active_since."""
     work = Workspace(captures.sparkSession, "url-filter")
-    columns = captures.columns
-    # what is asked is asked once for each URL and instant
-    asked = captures.select(F.col(url).alias("u"), F.col(fetched).alias("f")).where("u is not null and f is not null").distinct()
-    asked = asked.select("u", "f", F.explode(keys(F.col("u"))).alias("k")).select("u", "f", "k.rank", "k.key", F.date_trunc("month", "f").alias("month"))
-    last = captures.agg(F.max(fetched)).first()[0]
+    asked = captures.select(F.col(f"`{url}`").alias("u"), F.col(f"`{fetched}`").alias("f"))
+    last = asked.agg(F.max("f")).first()[0]
+    asked = asked.select("u", "f", F.explode(keys(F.col("u"))).alias("k")).select("u", "f", "k.rank", "k.key", F.explode(F.array(_month(F.col("f")), -1 - F.year("f"))).alias("cell"))
     dated = intervals(entries)
-    if last is not None:
-        until = F.least("until", F.lit(last) + F.expr("interval 1 second"))
-        months = F.sequence(F.date_trunc("month", "since"), F.date_trunc("month", F.greatest("since", until)), F.expr("interval 1 month"))
-        dated = dated.where(F.col("since") <= F.lit(last)).withColumn("month", F.explode(months))
-    else:
-        dated = dated.withColumn("month", F.col("since"))
-    dated = work.table(dated, "intervals")
-    found = asked.join(work.small(dated), ["key", "month"]).where("since <= f and f < until")
+    if last is not None:  # nothing is asked later
+        dated = dated.where(F.col("since") <= F.lit(last)).withColumn("until", F.least("until", F.lit(last) + F.expr("interval 1 second")))
+    dated = work.table(dated.withColumn("cell", F.explode(_cells(_month(F.col("since")), _month(F.col("until"))))), "intervals")
+    found = asked.join(work.small(dated), ["key", "cell"]).where("since <= f and f < until")
     best = found.groupBy("u", "f").agg(F.max(F.struct("rank", "key", "action", "since")).alias("b"))
     best = work.table(best.select("u", "f", F.col("b.action").alias("verdict"), F.col("b.key").alias("matched_key"), F.col("b.since").alias("active_since")), "verdicts")
-    out = captures.join(work.small(best), (F.col(url) == F.col("u")) & (F.col(fetched) == F.col("f")), "left")
-    return out.select(*columns, F.coalesce("verdict", F.lit("none")).alias("verdict"), "matched_key", "active_since")
+    made = ["verdict", "matched_key", "active_since"]
+    kept = [F.col(f"c.`{x}`") for x in captures.columns if x.lower() not in made]
+    out = captures.alias("c").join(work.small(best).alias("b"), (F.col(f"c.`{url}`") == F.col("b.u")) & (F.col(f"c.`{fetched}`") == F.col("b.f")), "left")
+    return out.select(*kept, F.coalesce("b.verdict", F.lit("none")).alias("verdict"), F.col("b.matched_key").alias("matched_key"), F.col("b.active_since").alias("active_since"))
