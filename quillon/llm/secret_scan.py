@@ -27,12 +27,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import unused
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Greedy runs, so that a least length in the pattern drops the same matches.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
+#: Matches whose positions run up together.
+BLOCK = 500
+
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 #: Character class -> its pattern, window and least entropy in bits.
 CLASSES = {
@@ -52,7 +57,11 @@ def _gaps(text: Column, pattern: str) -> Column:
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """array<struct<start, kind, end, value>> of the matches, in order; a match
-    whose group is shorter than ``least`` is dropped after it took its place."""
+    whose group is shorter than ``least`` is dropped after it took its place.
+
+    Positions run up within blocks of ``BLOCK`` matches and then over the blocks,
+    so that a text of very many matches isn't copied once for each.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.zip_with(F.arrays_zip(hits.alias("hit"), values.alias("value")), F.slice(_gaps(text, pattern), 1, F.greatest(F.lit(1), F.size(hits))), lambda m, gap: F.struct(F.length(gap).alias("gap"), m["hit"].alias("hit"), m["value"].alias("value")))
@@ -64,7 +73,15 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
         own = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value")))
         return F.struct(end.alias("at"), F.when(F.length(m["value"]) >= least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def blocks(found):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(found, b * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def placed(local):
+        begins = F.aggregate(local, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(local, begins, lambda x, at: F.transform(x["out"], lambda s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["value"].alias("value")))))
+
+    # one-element arrays bind what is used more than once
+    found = F.transform(F.array(parts), lambda p: F.transform(F.array(blocks(p)), placed)[0])[0]
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
@@ -113,14 +130,15 @@ def _entropy_spans(text: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(some, windows)), empty)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``secret_spans``: array<struct<start, kind, end>> by start, then
-    kind (its place in KINDS)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("secret_base", F.concat(_spans(t, ASSIGN, 0, 2, 6), _spans(t, ACCESS, 1), _spans(t, HEX, 2))).withColumn("secret_more", _entropy_spans(t))
-    covered = F.expr("filter(secret_more, e -> not exists(secret_base, b -> b.start <= e.start and e.end <= b.end))")
-    every = F.transform(F.concat("secret_base", covered), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return out.withColumn("secret_spans", F.array_sort(every)).drop("secret_base", "secret_more")
+def scan(docs: DataFrame, text: str = "text", out: str = "secret_spans") -> DataFrame:
+    """docs with the column ``out``: array<struct<start, kind, end>> by start, then
+    kind (its place in KINDS).  A column of docs with that name is replaced."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base, more = unused([*docs.columns, out], "base", "more")
+    found = docs.withColumn(base, F.concat(_spans(t, ASSIGN, 0, 2, 6), _spans(t, ACCESS, 1), _spans(t, HEX, 2))).withColumn(more, _entropy_spans(t))
+    covered = F.expr(f"filter(`{more}`, e -> not exists(`{base}`, b -> b.start <= e.start and e.end <= b.end))")
+    every = F.transform(F.concat(base, covered), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return found.withColumn(out, F.array_sort(every)).drop(base, more)
 
 
 def _joined(spans: str) -> str:
@@ -137,8 +155,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by the mark; overlapping spans by one."""
-    columns = docs.columns
-    found = scan(docs, text)
-    step = f"""aggregate(secret_spans, struct(0 as at, '' as out), (acc, s) -> case when s.end <= acc.at then acc when s.start < acc.at then struct(s.end as at, acc.out as out) else struct(s.end as at, concat(acc.out, substring(`{text}`, acc.at + 1, s.start - acc.at), '{mark}') as out) end, acc -> concat(acc.out, substring(`{text}`, acc.at + 1)))"""
-    return found.withColumn(text, F.expr(f"case when size(secret_spans) > 0 then {step} else `{text}` end")).select(columns)
+    """docs with every span of the text replaced by the mark; overlapping spans
+    by one.  Null texts stay null; all other columns are as they were."""
+    (spans,) = unused(docs.columns, "spans")
+    mark = mark.replace("\\", "\\\\").replace("'", "\\'")
+    parts = f"""aggregate(`{spans}`, struct(0 as at, cast(array() as array<string>) as out), (acc, s) -> case when s.end <= acc.at then acc when s.start < acc.at then struct(s.end as at, acc.out as out) else struct(s.end as at, concat(acc.out, array(substring(`{text}`, acc.at + 1, s.start - acc.at))) as out) end, acc -> concat(acc.out, array(substring(`{text}`, acc.at + 1))))"""
+    return scan(docs, text, spans).withColumn(text, F.expr(f"case when size(`{spans}`) > 0 then array_join({parts}, '{mark}') else `{text}` end")).select([f"`{c}`" for c in docs.columns])
