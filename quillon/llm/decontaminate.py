@@ -194,12 +194,16 @@ class _Items:
             self.short.setdefault(size, {}).setdefault(int(rolling(self.words[k], size)[0]), []).append(k)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = LCS, answer: float = ANSWER, dims: int = DIMS, rank: int = RANK) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = LCS, answer: float = ANSWER, dims: int = DIMS, rank: int = RANK, row: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer) of each document and benchmark
-    item found in it; docs (doc_id, text), benchmark (item_id, text)."""
+    item found in it; docs (doc_id, text), benchmark (item_id, text).
+
+    ``row`` names a long column by which the caller knows rows again: with it,
+    rows are reported each, and it is returned as ``row``.
+    """
     spark = docs.sparkSession
     work = Workspace(spark, "decontaminate")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.lit(0)).cast("long").alias("row"), "text")
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     vectors = latent(docs, dims, rank)
     blocks = max(1, -(-benchmark.count() // BLOCK))
@@ -208,11 +212,11 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: f
         own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about BLOCK rows
         items = _Items([r["item_id"] for r in own], [r["text"] for r in own], vectors, dims)
         shared = spark.sparkContext.broadcast((vectors, items))
-        part = docs.mapInArrow(_search(shared, cosine, least, answer, dims), "doc_id long, item_id long, cosine double, lcs double, answer double")
+        part = docs.mapInArrow(_search(shared, cosine, least, answer, dims), "doc_id long, row long, item_id long, cosine double, lcs double, answer double")
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("lcs", "cosine", "answer")).alias("b")
-    found = found.groupBy("doc_id", "item_id").agg(best)
-    return work.table(found.select("doc_id", "item_id", *(F.round(f"b.{c}", 6).alias(c) for c in ("cosine", "lcs", "answer"))), "found")
+    found = found.groupBy("doc_id", "row", "item_id").agg(best)
+    return work.table(found.select("doc_id", *(["row"] if row else []), "item_id", *(F.round(f"b.{c}", 6).alias(c) for c in ("cosine", "lcs", "answer"))), "found")
 
 
 def _search(shared, cosine, least, answer, dims):
@@ -220,8 +224,8 @@ def _search(shared, cosine, least, answer, dims):
         vectors, items = shared.value
         vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            out = [], [], [], [], []
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            out = [], [], [], [], [], []
             lowest = int(items.width.min()) if len(items.ids) else 0
             for i, words, hashes in _parts(batch) if len(items.ids) else ():
                 padded, _, first = _padded(words, _terms(hashes, dims), WIDTHS[-1] // 4, WIDTHS[-1] * 3 // 4, dims)
@@ -266,7 +270,7 @@ def _search(shared, cosine, least, answer, dims):
                     inside = at_run + size <= words.first_word[doc + 1]
                     for d, h in set(zip(doc[inside].tolist(), runs[at_run[inside]].tolist())):
                         for y in known[h]:
-                            for o, v in zip(out, (ids[i + d], items.ids[y], 1.0, 1.0, 1.0)):
+                            for o, v in zip(out, (ids[i + d], keys[i + d], items.ids[y], 1.0, 1.0, 1.0)):
                                 o.append(v)
                 for (d, y), spans in best.items():
                     size = int(items.sizes[y])
@@ -283,8 +287,8 @@ def _search(shared, cosine, least, answer, dims):
                         if length >= (least if size >= SHORT else 1.0) - 1e-9:
                             end_part = lcs(tail, region) / len(tail)
                             if end_part >= answer:
-                                for o, v in zip(out, (ids[i + d], items.ids[y], c, length, end_part)):
+                                for o, v in zip(out, (ids[i + d], keys[i + d], items.ids[y], c, length, end_part)):
                                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "cosine", "lcs", "answer"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["doc_id", "row", "item_id", "cosine", "lcs", "answer"])
 
     return rows

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import Workspace
+from ._store import Workspace, unused
 from ._words import chunks, mix64, text_buffers
 
 TOP = 300
@@ -81,9 +81,9 @@ def _counted(keys):
 _LOW = np.uint64((1 << 48) - 1)
 
 
-def _pieces(batch):
-    _, offsets = text_buffers(batch.column("text"))
-    texts = batch.column("text").to_pylist()
+def _pieces(batch, text="text"):
+    _, offsets = text_buffers(batch.column(text))
+    texts = batch.column(text).to_pylist()
     for i, j in chunks(offsets, 1 << 20):
         yield i, j, texts[i:j]
 
@@ -122,8 +122,10 @@ def learn(docs: DataFrame, top: int = TOP) -> DataFrame:
     return totals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("lang", "gram", "place")
 
 
-def identify(docs: DataFrame, profiles: DataFrame, top: int = TOP) -> DataFrame:
-    """docs' columns with lang_pred and score; docs must have a column text."""
+def identify(docs: DataFrame, profiles: DataFrame, top: int = TOP, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns pred and score, which docs must not have already."""
+    if unused(docs.columns, pred, score) != [pred, score]:
+        raise ValueError(f"docs have a column {pred} or {score} of their own")
     # a language has at most ``top`` rows
     known = profiles.toPandas()
     langs = sorted(known["lang"].unique())
@@ -135,8 +137,8 @@ def identify(docs: DataFrame, profiles: DataFrame, top: int = TOP) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for i, j, texts in _pieces(batch):
+            found, near = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            for i, j, texts in _pieces(batch, text):
                 if not langs:
                     continue
                 g, n = _counted(_grams(texts))
@@ -155,12 +157,12 @@ def identify(docs: DataFrame, profiles: DataFrame, top: int = TOP) -> DataFrame:
                     apart[:, k] = np.bincount(doc, np.where(there < 0, top, np.abs(place - there)), j - i)
                 best = apart.argmin(axis=1)
                 for d in np.flatnonzero(size).tolist():
-                    pred[i + d] = langs[best[d]]
-                    score[i + d] = max(0.0, 1.0 - apart[d, best[d]] / (top * size[d]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(pred, pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+                    found[i + d] = langs[best[d]]
+                    near[i + d] = max(0.0, 1.0 - apart[d, best[d]] / (top * size[d]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.string()), pa.array(near)], [*columns, pred, score])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(rows, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(rows, f"{fields}, `{pred}` string, `{score}` double")
 
 
 def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

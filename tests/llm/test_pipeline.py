@@ -44,6 +44,33 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == set(kept) and max(r["offset"] + r["length"] for r in pieces) <= 1024
 
 
+def test_rows_not_ids(spark, tmp_path):
+    """Repeated rows and doc_ids, null ids, texts that differ in case alone, and columns named like the operators' own."""
+    a, b, c, item = prose(1, 70), prose(2, 80), prose(3, 60), prose(900, 40)
+    near = b.replace(b.split()[40], "edit", 1)
+    rows = [(1, a), (2, a), (2, b), (5, near), (7, c), (7, c), (7, c.upper()), (None, a), (None, a), (8, None), (9, "7 8"), (9, prose(5, 30)), (10, item), (10, prose(6, 50)), (None, item), (2, prose(7, 50)), (5, "one two"), (6, "One\ttwo")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, lang_pred int, `group` int, secret_spans string, tags map<string,int>"
+    full = [(i, t, "en", "s", len(t or ""), 0.5, "r", 1, 2, "u", {"k": 1}) for i, t in rows]
+    spark.createDataFrame(full, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (None, prose(901, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = sorted(((r["doc_id"] or 0, r["text"], r["secret_spans"], r["score"]) for r in rows_of(docs)))
+    assert sorted(t[:2] for t in seen["language_id"]) == sorted((i or 0, t) for i, t in rows if t and any(x.isalpha() for x in t))
+    (seventh,) = [t for t in seen["near_duplicates"] if t[0] == 7]
+    assert seventh[1] in (c, c.upper())
+    want = [(0, a), (0, a), (0, item), (1, a), (2, b), (2, prose(7, 50)), (5, "one two"), (9, prose(5, 30)), (10, item), (10, prose(6, 50))]
+    assert sorted(t[:2] for t in seen["near_duplicates"] if t[0] != 7) == sorted(want)
+    assert sorted(t[:2] for t in seen["decontaminate"] if t[0] != 7) == sorted(t for t in want if t[1] != item)
+    assert all(t[2:] == ("u", 0.5) for t in seen["redact"]) and len(seen["redact"]) == len(seen["decontaminate"])
+    assert {(r["doc_id"] or 0) for r in rows_of(corpus_pipeline.run(spark, str(tmp_path)))} == {0, 1, 2, 5, 7, 9, 10}
+
+
 def test_empty(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
