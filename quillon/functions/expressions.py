@@ -72,8 +72,17 @@ def layer_norm(a: Column, eps: float = 1e-6) -> Column:
 
 def uniform(seed: int, *ids: Column) -> Column:
     """A number in [0, 1) that depends on the seed and ids only, so results
-    don't change with partitioning or a repeated task."""
-    return F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    don't change with partitioning or a repeated task: the first 40 bits of the
+    MD5 of "seed:id:id..", which other engines have, too."""
+    names = [F.col(i) if isinstance(i, str) else i for i in ids]
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(i.cast("string"), F.lit("")) for i in names))
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
+
+
+def uniform_sql(seed: int, *ids: str) -> str:
+    """uniform() for DuckDB."""
+    text = ", ".join(f"coalesce(({i})::varchar, '')" for i in ids)
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {text})), 1, 10))::bigint / {float(1 << 40)})"
 
 
 def normal(seed: int, *ids: Column) -> Column:

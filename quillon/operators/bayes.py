@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._cut import cut
 from .linear import complete
 
 #: Classes up to which a model is broadcast; its rows are one a class.
@@ -49,15 +50,17 @@ def gaussian_predict(df: DataFrame, model: DataFrame, features: list[str]) -> Da
 
 def multinomial_fit(counts: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(label, log_prior, log_absent) and (label, token, log_p) of rows (id, label,
-    token, n).  Tokens that a class lacks have its log_absent, and aren't listed."""
+    token, n).  Tokens that a class lacks have its log_absent, and aren't listed.
+    The counts are written once, as they are read for each part of the model."""
+    counts = cut(counts)
     docs = counts.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("docs"))
     per = counts.groupBy("label", "token").agg(F.sum("n").alias("n"))
     vocabulary = F.broadcast(per.select("token").distinct().agg(F.count("*").alias("v")))
     total = F.broadcast(docs.agg(F.sum("docs").alias("all")))
     sums = per.groupBy("label").agg(F.sum("n").alias("total")).join(docs, "label").crossJoin(vocabulary).crossJoin(total)
     classes = sums.select("label", F.log(F.col("docs") / F.col("all")).alias("log_prior"), (math.log(alpha) - F.log(F.col("total") + alpha * F.col("v"))).alias("log_absent"), F.log(F.col("total") + alpha * F.col("v")).alias("log_total"))
-    tokens = per.join(F.broadcast(classes), "label").select("label", "token", (F.log(F.col("n") + alpha) - F.col("log_total")).alias("log_p"))
-    return classes.drop("log_total"), tokens
+    tokens = per.join(_model(classes), "label").select("label", "token", (F.log(F.col("n") + alpha) - F.col("log_total")).alias("log_p"))
+    return cut(classes.drop("log_total")), cut(tokens)
 
 
 def multinomial_predict(counts: DataFrame, classes: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._cut import cut
+
 
 def accuracy(actual: Column, predicted: Column) -> Column:
     return F.avg(F.when(actual == predicted, 1.0).otherwise(0.0))
@@ -56,7 +58,7 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def _running(df: DataFrame, order: str, values: list[str], ranges: int = 64) -> DataFrame:
     """Running sums of values by descending order, as value_run; no task holds all rows."""
-    df = df.repartitionByRange(ranges, F.desc(order)).withColumn("_r", F.spark_partition_id()).sortWithinPartitions(F.desc(order))
+    df = cut(df.repartitionByRange(ranges, F.desc(order)).withColumn("_r", F.spark_partition_id()))  # ranges are drawn once
     sums = df.groupBy("_r").agg(*(F.sum(v).alias(f"_{v}") for v in values))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_r", *(F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values))  # a row for each range
@@ -87,3 +89,59 @@ def kl_normal(mu: Column, log_sigma: Column, prior: float = 1.0) -> Column:
 def entropy_bits(p: Column) -> Column:
     """Base-2 entropy of an array of probabilities; 2 to its power is the perplexity."""
     return F.aggregate(p, F.lit(0.0), lambda s, v: s - F.when(v > 0, v * F.log2(v)).otherwise(0.0))
+
+
+def perplexity(p: Column) -> Column:
+    """2 to the power of the entropy of an array of probabilities."""
+    return F.pow(F.lit(2.0), entropy_bits(p))
+
+
+def _assignment(cost):
+    """Column of each row of a square matrix with the least total cost, by
+    shortest augmenting paths with potentials."""
+    import numpy as np
+
+    n = len(cost)
+    row_u, col_u, owner = np.zeros(n), np.zeros(n), np.full(n, -1)
+    for start in range(n):
+        dist, before, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
+        row, column, length = start, -1, 0.0
+        while True:
+            reach = length + cost[row] - row_u[row] - col_u
+            better = ~done & (reach < dist)
+            dist[better], before[better] = reach[better], column
+            column = int(np.where(done, np.inf, dist).argmin())
+            length, done[column] = dist[column], True
+            if owner[column] < 0:
+                break
+            row = owner[column]
+        for j in np.flatnonzero(done):
+            if owner[j] >= 0:
+                row_u[owner[j]] += length - dist[j]
+            col_u[j] -= length - dist[j]
+        row_u[start] += length
+        while column >= 0:
+            owner[column] = owner[before[column]] if before[column] >= 0 else start
+            column = before[column]
+    out = np.empty(n, int)
+    out[owner] = np.arange(n)
+    return out
+
+
+def match_labels(df: DataFrame, actual: str, cluster: str) -> tuple[dict, float]:
+    """The one-to-one mapping of clusters to labels with the most rows in
+    agreement, and the share of rows that agree; the confusion counts (labels
+    times clusters) go to the driver.  Clusters beyond the labels map to None."""
+    import numpy as np
+
+    cells = confusion(df.where(F.col(actual).isNotNull() & F.col(cluster).isNotNull()), actual, cluster).collect()
+    labels, clusters = sorted({r["actual"] for r in cells}), sorted({r["predicted"] for r in cells})
+    n = max(len(labels), len(clusters))
+    counts = np.zeros((n, n))
+    for r in cells:
+        counts[clusters.index(r["predicted"]), labels.index(r["actual"])] = r["n"]
+    if not n:
+        return {}, 0.0
+    best = _assignment(counts.max() - counts)
+    mapping = {c: labels[best[i]] if best[i] < len(labels) else None for i, c in enumerate(clusters)}
+    return mapping, float(counts[np.arange(n), best].sum() / counts.sum())

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import array_dot, array_sum, let, softmax
+from ..functions.expressions import array_dot, array_sum, let, softmax, uniform
 from .pairs import _matrix
 
 ACTIVATIONS = {
@@ -63,12 +63,17 @@ class MLP:
             loss, delta = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum(), out - y
         else:
             loss, delta = ((out - y) ** 2).sum(), 2 * (out - y) * ACTIVATIONS[self.output][1](out)
+        return self.backward(acts, delta), float(loss)
+
+    def backward(self, acts, delta):
+        """Gradients of all weights, summed over rows, from that of the last
+        layer before its activation."""
         grads = []
         for i in range(len(self.weights) - 1, -1, -1):
             grads.append((acts[i].T @ delta, delta.sum(0)))
             if i:
                 delta = delta @ self.weights[i][0].T * ACTIVATIONS[self.hidden][1](acts[i])
-        return grads[::-1], float(loss)
+        return grads[::-1]
 
     def input_gradient(self, x, delta):
         """Of sum(output * delta) with respect to the input rows."""
@@ -140,6 +145,12 @@ class MLP:
 
         return df.select("id", "v").mapInArrow(rows, "id long, output array<double>")
 
+    def misclassified(self, df: DataFrame) -> DataFrame:
+        """(id, actual, predicted) of the rows (id, v, y one-hot) that the largest output gets wrong."""
+        place = lambda c: F.array_position(F.col(c), F.array_max(c)).cast("int") - 1
+        both = df.select("id", place("y").alias("actual")).join(self.predict(df).select("id", place("output").alias("predicted")), "id")
+        return both.where("actual <> predicted")
+
     def expression(self, x: Column) -> Column:
         """The forward pass of a small network as one expression of an array."""
         for i, (w, b) in enumerate(self.weights):
@@ -157,6 +168,24 @@ def _dots(x: Column, rows: Column) -> Column:
     return F.transform(rows, lambda r: array_dot(x, r))
 
 
+def search(train: DataFrame, test: DataFrame, sizes: tuple[int, int], trials: int = 10, hidden: tuple[int, ...] = (4, 8, 16, 32), rates: tuple[float, float] = (1e-3, 1.0), rounds: tuple[int, int] = (5, 50), output: str = "softmax", seed: int = 0) -> tuple[MLP, list[dict]]:
+    """Random hyper-parameter search: (best network, trials).  Hidden size,
+    activation, rate (log-uniform) and rounds are drawn by seed; the share of
+    rows (id, v, y one-hot) of test that a network gets right decides (ties: the
+    first trial)."""
+    rng, done, best, top, n = np.random.Generator(np.random.PCG64(seed)), [], None, -1.0, test.count()
+    for k in range(trials):
+        width, kind = int(rng.choice(hidden)), str(rng.choice(["relu", "tanh", "sigmoid"]))
+        rate, steps = float(np.exp(rng.uniform(*np.log(rates)))), int(rng.integers(rounds[0], rounds[1] + 1))
+        net = MLP.create([sizes[0], width, sizes[1]], kind, output, seed + k)
+        loss = net.fit(train, steps, rate)[-1]
+        score = 1 - net.misclassified(test).count() / max(1, n)
+        done.append({"hidden": width, "activation": kind, "rate": rate, "rounds": steps, "loss": loss, "accuracy": score})
+        if score > top:
+            best, top = net, score
+    return best, done
+
+
 def autoencoder(size: int, code: int, seed: int = 0) -> MLP:
     """Sigmoid code, linear reconstruction; fit on rows with y = v."""
     return MLP.create([size, code, size], "sigmoid", "linear", seed)
@@ -170,6 +199,38 @@ def attention(q: Column, keys: Column, values: Column, size: int) -> Column:
     return let(w, lambda w: F.aggregate(F.arrays_zip(w.alias("w"), values.alias("v")), zero, lambda acc, e: F.zip_with(acc, e["v"], lambda s, x: s + e["w"] * x)))
 
 
+def attention_within(df: DataFrame, group: str, blocks: int | None = None) -> DataFrame:
+    """(id, o): attention of each row (id, v, group) over the rows of its group.
+
+    Rows are dealt to pairs of blocks of their group; a pair sends for each query
+    the largest score, the sum of weights and the weighted values relative to it,
+    and these are merged, so no task or row holds a group.
+    """
+    rows = df.select("id", "v", F.col(group).alias("g")).where("g is not null")
+    n = blocks or max(1, -(-(rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0) // 4096))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
+    dealt = rows.select("id", "v", "g", own.alias("own"), other)
+    left = dealt.select(F.col("id").alias("id_a"), F.col("v").alias("v_a"), F.col("g").alias("g_a"), F.col("own").alias("i_a"), F.col("other").alias("j_a"))
+    right = dealt.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"), F.col("g").alias("g_b"), F.col("other").alias("i_b"), F.col("own").alias("j_b"))
+
+    def part(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "m": pa.array([], pa.float64()), "s": pa.array([], pa.float64()), "o": pa.array([], pa.list_(pa.float64()))})
+        q, k = _matrix(a, "v_a"), _matrix(b, "v_b")
+        score = q @ k.T / math.sqrt(q.shape[1])
+        top = score.max(1)
+        w = np.exp(score - top[:, None])
+        return pa.table({"id": a.column("id_a"), "m": pa.array(top), "s": pa.array(w.sum(1)), "o": pa.array(list(w @ k), pa.list_(pa.float64()))})
+
+    parts = left.groupBy("g_a", "i_a", "j_a").cogroup(right.groupBy("g_b", "i_b", "j_b")).applyInArrow(part, "id long, m double, s double, o array<double>")
+    own = parts.groupBy("id").agg(F.collect_list(F.struct("m", "s", "o")).alias("p"))  # a part for each block
+    own = own.withColumn("top", F.array_max(F.transform("p", lambda x: x["m"])))
+    total = F.aggregate("p", F.lit(0.0), lambda t, x: t + x["s"] * F.exp(x["m"] - F.col("top")))
+    zero = F.transform(F.col("p")[0]["o"], lambda x: x * 0.0)
+    out = F.aggregate("p", zero, lambda t, x: F.zip_with(t, x["o"], lambda c, v: c + v * F.exp(x["m"] - F.col("top"))))
+    return own.withColumn("total", total).select("id", F.transform(out, lambda x: x / F.col("total")).alias("o"))
+
+
 def multi_head(x: np.ndarray, wq, wk, wv, heads: int) -> np.ndarray:
     """Self-attention of a sequence (t, d) with given projections."""
     t, d = x.shape[0], wq.shape[1] // heads
@@ -186,20 +247,39 @@ def positional_encoding(position: Column, i: Column, size: int) -> Column:
 
 
 def hopfield_weights(patterns: DataFrame) -> DataFrame:
-    """(i, j, w) of rows (id, v array of -1 and 1): sums of products, zero diagonal."""
-    long = patterns.select("id", F.posexplode("v").alias("i", "x"))
-    pair = long.join(long.select("id", F.col("i").alias("j"), F.col("x").alias("y")), "id").where("i <> j")
-    return pair.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("w"))
+    """(i, j, w) of rows (id, v array of -1 and 1): sums of products, zero
+    diagonal; a task sends units squared numbers."""
+
+    def products(batches):
+        out = None
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(pa.Table.from_batches([b]), "v").astype(float)
+                out = x.T @ x if out is None else out + x.T @ x
+        if out is not None:
+            i, j = np.nonzero(~np.eye(len(out), dtype=bool))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(out[i, j].astype(np.int64))], ["i", "j", "w"])
+
+    return patterns.select("v").mapInArrow(products, "i int, j int, w long").groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
 def hopfield_recall(states: DataFrame, weights: DataFrame, rounds: int = 1) -> DataFrame:
-    """(id, v) after synchronous sign updates; a zero sum counts as 1."""
-    for _ in range(rounds):
-        long = states.select("id", F.posexplode("v").alias("j", "x")).join(F.broadcast(weights), "j")  # units squared
-        sums = long.groupBy("id", "i").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-        signs = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("s") >= 0, 1).otherwise(-1).alias("x")))).alias("a"))
-        states = signs.select("id", F.transform("a", lambda e: e["x"]).alias("v"))
-    return states
+    """(id, v) after synchronous sign updates; a zero sum counts as 1.  Weights,
+    units squared, go to the driver and the tasks."""
+    cells = weights.toPandas()
+    n = int(max(cells["i"].max(), cells["j"].max())) + 1 if len(cells) else 0
+    w = np.zeros((n, n))
+    w[cells["i"], cells["j"]] = cells["w"]
+
+    def rows(batches):
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(pa.Table.from_batches([b]), "v").astype(float)
+                for _ in range(rounds):
+                    x = np.where(x @ w.T >= 0, 1.0, -1.0)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(x.astype(np.int32)), pa.list_(pa.int32()))], ["id", "v"])
+
+    return states.select("id", "v").mapInArrow(rows, "id long, v array<int>")
 
 
 def boltzmann_energy(v: Column, h: Column, w: np.ndarray) -> Column:
@@ -209,20 +289,18 @@ def boltzmann_energy(v: Column, h: Column, w: np.ndarray) -> Column:
 
 
 def boltzmann_sample(df: DataFrame, w: np.ndarray, rounds: int, seed: int = 0) -> DataFrame:
-    """(id, v, h) after block Gibbs rounds from rows (id, v); draws by (seed, id, round)."""
+    """(id, v, h) after block Gibbs rounds from rows (id, v); draws by (seed, id,
+    round, unit), so they don't depend on partitioning, and all stays in the JVM."""
 
-    def rows(batches):
-        for b in batches:
-            v = _matrix(pa.Table.from_batches([b]), "v").copy()
-            ids = b.column("id").to_numpy()
-            for i in range(len(ids)):
-                rng = np.random.Generator(np.random.PCG64([seed, int(ids[i]) & 0xFFFFFFFF]))
-                for _ in range(rounds):
-                    h = (rng.random(w.shape[1]) < 1 / (1 + np.exp(-v[i] @ w))).astype(float)
-                    v[i] = rng.random(w.shape[0]) < 1 / (1 + np.exp(-w @ h))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]]), pa.array([v[i]], pa.list_(pa.float64())), pa.array([h], pa.list_(pa.float64()))], ["id", "v", "h"])
+    def drawn(rows, x, k, side):
+        table = F.array(*(F.array(*(F.lit(float(c)) for c in r)) for r in rows))
+        return F.transform(table, lambda r, j: F.when(uniform(seed, F.col("id"), F.lit(f"{side}{k}"), j) < 1 / (1 + F.exp(-array_dot(x, r))), 1.0).otherwise(0.0))
+
+    def from_round(v, k):  # each state is bound once
+        after = lambda h, v: F.struct(v.alias("v"), h.alias("h")) if k == rounds - 1 else from_round(v, k + 1)
+        return let(drawn(w.T, v, k, "h"), lambda h: let(drawn(w, h, k, "v"), lambda v: after(h, v)))
 
-    return df.select("id", "v").mapInArrow(rows, "id long, v array<double>, h array<double>")
+    return df.select("id", let(F.col("v").cast("array<double>"), lambda v: from_round(v, 0)).alias("s")).select("id", "s.v", "s.h")
 
 
 def rbf_activations(v: Column, centres: np.ndarray, sigma: float = 1.0) -> Column:

@@ -97,6 +97,20 @@ def within(df: DataFrame, radius: float, blocks: int | None = None) -> DataFrame
     return pairs.applyInArrow(near, "a long, b long, d2 double")
 
 
+def row_sums(df: DataFrame, functions: dict, blocks: int | None = None) -> DataFrame:
+    """(id, a column for each function): sums over all rows of a function of the
+    squared distances, self included.  Block tasks send sums, not pairs."""
+    n, names = blocks or blocks_of(df), list(functions)
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, got = left.column("id_a"), left.num_rows and right.num_rows
+        d = _squared(_matrix(left, "v_a"), _matrix(right, "v_b")) if got else np.zeros((left.num_rows, 1))
+        return pa.table({"id": a} | {name: pa.array(f(d).sum(1) if got else np.zeros(left.num_rows)) for name, f in functions.items()})
+
+    dealt = _dealt(df, n, "a").groupBy("i", "j").cogroup(_dealt(df, n, "b").groupBy("i", "j"))
+    return dealt.applyInArrow(sums, "id long, " + ", ".join(f"{c} double" for c in names)).groupBy("id").agg(*(F.sum(c).alias(c) for c in names))
+
+
 def within_grid(df: DataFrame, radius: float, dims: int) -> DataFrame:
     """As within() for few dimensions: a row meets those of its own and the neighbouring cells."""
     cell = F.transform("v", lambda x: F.floor(x / radius).cast("long"))

@@ -199,16 +199,18 @@ def q_learning(spark: SparkSession, size: int, episodes: int, seeds: int = 4, al
     return spark.range(seeds, numPartitions=seeds).mapInPandas(run, "seed long, s int, a int, q double")
 
 
-def collect_rollouts(spark: SparkSession, act, episodes: int, steps: int, seed: int = 0) -> DataFrame:
-    """(episode, t, s, u, r, s2, done) of a point mass under act(state, rng)."""
+def collect_rollouts(spark: SparkSession, act, episodes: int, steps: int, seed: int = 0, noise=None, warmup: int = 0) -> DataFrame:
+    """(episode, t, s, u, r, s2, done) of a point mass under act(state, rng) plus
+    noise(rng, steps)[t]; the first ``warmup`` steps of an episode are uniform."""
 
     def run(batches):
         for pdf in batches:
             for ep in pdf["id"].tolist():
                 rng, rows = np.random.Generator(np.random.PCG64([seed, ep])), []
                 s = np.array([rng.uniform(-1, 1), 0.0])
+                extra = np.zeros(steps) if noise is None else noise(rng, steps)
                 for t in range(steps):
-                    u = float(np.clip(act(s, rng), -1, 1))
+                    u = float(rng.uniform(-1, 1) if t < warmup else np.clip(act(s, rng) + extra[t], -1, 1))
                     v = float(np.clip(s[1] + DT * (u - DRAG * s[1]), -BOUND, BOUND))
                     x = float(np.clip(s[0] + DT * v, -BOUND, BOUND))
                     rows.append((ep, t, s.tolist(), u, -(x * x + 0.1 * v * v + 0.001 * u * u), [x, v], t == steps - 1))
@@ -218,39 +220,98 @@ def collect_rollouts(spark: SparkSession, act, episodes: int, steps: int, seed:
     return spark.range(episodes, numPartitions=min(episodes, 64)).mapInPandas(run, "episode long, t int, s array<double>, u double, r double, s2 array<double>, done boolean")
 
 
-def _batch(df: DataFrame, rows: int, seed: int):
-    """At most ``rows`` transitions for a learner."""
-    pdf = df.orderBy(uniform(seed, F.col("episode"), F.col("t"))).limit(rows).toPandas()
+def ou_path(theta: float = 0.15, sigma: float = 0.2, dt: float = 1e-2):
+    """Exploration noise for collect_rollouts: an Ornstein-Uhlenbeck path."""
+
+    def path(rng, steps):
+        out, x = np.empty(steps), 0.0
+        for t in range(steps):
+            x += -theta * x * dt + sigma * dt**0.5 * rng.standard_normal()
+            out[t] = x
+        return out
+
+    return path
+
+
+def gaussian_path(sigma: float = 0.1, least: float = 0.01, decay: float = 1.0):
+    """Exploration noise for collect_rollouts: normal, with a spread that decays to ``least``."""
+    return lambda rng, steps: np.maximum(least, sigma * decay ** np.arange(steps)) * rng.standard_normal(steps)
+
+
+#: Transitions that a learner's replay buffer holds: the newest ones.
+CAPACITY = 100_000
+
+
+def _buffer(df: DataFrame, capacity: int):
+    """The newest transitions of a table, as arrays of a learner's replay buffer."""
+    pdf = df.orderBy(F.desc("episode"), F.desc("t")).limit(capacity).toPandas().sort_values(["episode", "t"])
     return np.stack(pdf["s"]), pdf["u"].to_numpy(), pdf["r"].to_numpy(), np.stack(pdf["s2"]), pdf["done"].to_numpy().astype(float)
 
 
+@dataclass
+class Values:
+    """A network of action values, plain or dueling: a dueling one's outputs are
+    the state's value and the advantages, and q = value + advantage - mean."""
+
+    net: MLP
+    dueling: bool = False
+
+    def q(self, x):
+        out = self.net.forward(x)[-1]
+        return out[:, :1] + out[:, 1:] - out[:, 1:].mean(1, keepdims=True) if self.dueling else out
+
+    def descend(self, x, delta, rate: float):
+        """A step against the gradient ``delta`` of a loss with respect to q."""
+        if self.dueling:
+            delta = np.column_stack([delta.sum(1), delta - delta.mean(1, keepdims=True)])
+        self.net.apply(self.net.backward(self.net.forward(x), delta), rate, True)
+
+
 @dataclass
 class DQN:
-    """Double Q-learning over the five forces, on sampled batches of a table of transitions."""
+    """Q-learning over the five forces on a replay buffer of a table's transitions:
+    plain or double, plain or dueling, uniform or prioritised batches, soft or hard
+    updates of the target network."""
 
-    online: MLP
-    target: MLP
+    online: Values
+    target: Values
 
     @staticmethod
-    def create(hidden=(32, 32), seed: int = 0) -> "DQN":
-        sizes = [2, *hidden, len(FORCES)]
-        return DQN(MLP.create(sizes, seed=seed), MLP.create(sizes, seed=seed))
-
-    def learn(self, df: DataFrame, rounds: int, batch: int = 256, rate: float = 1e-3, gamma: float = 0.99, tau: float = 0.05, double: bool = True) -> list[float]:
-        s, u, r, s2, done = _batch(df, batch * max(1, min(rounds, 64)), 0)
+    def create(hidden=(32, 32), seed: int = 0, dueling: bool = False) -> "DQN":
+        sizes = [2, *hidden, len(FORCES) + dueling]
+        return DQN(*(Values(MLP.create(sizes, seed=seed), dueling) for _ in range(2)))
+
+    def act(self, s, rng=None, eps: float = 0.0) -> float:
+        if rng is not None and rng.random() < eps:
+            return float(rng.choice(FORCES))
+        return FORCES[int(self.online.q(np.atleast_2d(s))[0].argmax())]
+
+    def learn(self, df: DataFrame, rounds: int, batch: int = 256, rate: float = 1e-3, gamma: float = 0.99, tau: float | None = 0.05, every: int = 20, double: bool = True, prioritised: bool = False, alpha: float = 0.6, beta: float = 0.4, capacity: int = CAPACITY) -> list[float]:
+        """Losses of the rounds.  Without ``tau`` the target network is replaced
+        every ``every`` rounds.  Prioritised batches are drawn by (|error| + 1e-5) **
+        alpha, new transitions by the largest so far, and weighted by their odds."""
+        s, u, r, s2, done = _buffer(df, capacity)
         a, losses = np.abs(u[:, None] - np.array(FORCES)).argmin(1), []
-        rng = np.random.Generator(np.random.PCG64(1))
-        for _ in range(rounds):
-            i = rng.integers(0, len(s), min(batch, len(s)))
-            q2 = self.target.forward(s2[i])[-1]
-            pick = (self.online.forward(s2[i])[-1] if double else q2).argmax(1)
-            y = self.online.forward(s[i])[-1].copy()
-            rows = np.arange(len(i))
-            y[rows, a[i]] = r[i] + gamma * (1 - done[i]) * q2[rows, pick]
-            grads, loss = self.online.gradients(s[i], y)
-            self.online.apply([(w / len(i), b / len(i)) for w, b in grads], rate, True)
-            self.target.blend(self.online, tau)
-            losses.append(loss / len(i))
+        rng, priority = np.random.Generator(np.random.PCG64(1)), np.ones(len(s))
+        for k in range(1, rounds + 1):
+            n, weight = min(batch, len(s)), 1.0
+            if prioritised:
+                share = np.cumsum(priority**alpha)
+                i = np.minimum(np.searchsorted(share, (np.arange(n) + rng.random(n)) * share[-1] / n, side="right"), len(s) - 1)
+                weight = (len(s) * priority[i] ** alpha / share[-1]) ** -beta
+                weight /= weight.max()
+            else:
+                i = rng.integers(0, len(s), n)
+            rows, q2 = np.arange(n), self.target.q(s2[i])
+            pick = (self.online.q(s2[i]) if double else q2).argmax(1)
+            error = r[i] + gamma * (1 - done[i]) * q2[rows, pick] - self.online.q(s[i])[rows, a[i]]
+            delta = np.zeros((n, len(FORCES)))
+            delta[rows, a[i]] = -2 * weight * error / n
+            self.online.descend(s[i], delta, rate)
+            priority[i] = np.abs(error) + 1e-5
+            if tau is not None or k % every == 0:
+                self.target.net.blend(self.online.net, 1.0 if tau is None else tau)
+            losses.append(float(np.mean(weight * error**2)))
         return losses
 
 
@@ -264,6 +325,7 @@ class ActorCritic:
     actor_t: MLP
     critics_t: list[MLP]
     kind: str = "td3"
+    log_alpha: float = -3.0
 
     @staticmethod
     def create(kind: str = "td3", hidden=(32, 32), seed: int = 0) -> "ActorCritic":
@@ -278,8 +340,11 @@ class ActorCritic:
         out = self.actor.forward(np.atleast_2d(s))[-1]
         return np.tanh(out[:, 0]) if self.kind == "sac" else out[:, 0]
 
-    def learn(self, df: DataFrame, rounds: int, batch: int = 128, rate: float = 1e-3, gamma: float = 0.99, tau: float = 0.01, delay: int = 2, noise: float = 0.2, clip: float = 0.5, alpha: float = 0.05) -> list[float]:
-        s, u, r, s2, done = _batch(df, batch * max(1, min(rounds, 64)), 0)
+    def learn(self, df: DataFrame, rounds: int, batch: int = 128, rate: float = 1e-3, gamma: float = 0.99, tau: float = 0.01, delay: int = 2, noise: float = 0.2, clip: float = 0.5, alpha: float | None = 0.05, target_entropy: float = -1.0, capacity: int = CAPACITY) -> list[float]:
+        """Critic losses of the rounds.  For SAC, no ``alpha`` means that its
+        logarithm follows the gradient towards the target entropy."""
+        s, u, r, s2, done = _buffer(df, capacity)
+        tune, alpha = alpha is None, float(np.exp(self.log_alpha)) if alpha is None else alpha
         rng, losses = np.random.Generator(np.random.PCG64(3)), []
         for step in range(rounds):
             i = rng.integers(0, len(s), min(batch, len(s)))
@@ -302,14 +367,19 @@ class ActorCritic:
                 loss += own / n
             losses.append(loss)
             if self.kind != "td3" or step % delay == 0:
-                self._improve(s[i], rng, rate, alpha)
+                log_p = self._improve(s[i], rng, rate, alpha)
+                if tune and self.kind == "sac":
+                    self.log_alpha += rate * alpha * float(np.mean(log_p) + target_entropy)
+                    alpha = float(np.exp(self.log_alpha))
                 self.actor_t.blend(self.actor, tau)
                 for t, c in zip(self.critics_t, self.critics):
                     t.blend(c, tau)
         return losses
 
     def _improve(self, s, rng, rate, alpha):
-        """Climbs the critic's gradient with respect to the action, by the chain rule."""
+        """Climbs the critic's gradient with respect to the action, by the chain
+        rule; returns the log-probabilities of SAC's actions."""
+        log_p = 0.0
         acts = self.actor.forward(s)
         out, n = acts[-1], len(s)
         if self.kind == "sac":
@@ -317,27 +387,64 @@ class ActorCritic:
             ls = np.clip(out[:, 1:], -5, 2)
             raw = out[:, :1] + np.exp(ls) * e
             u = np.tanh(raw)
-            dq = self.critics[0].input_gradient(np.column_stack([s, u]), np.ones((n, 1)))[:, 2:]
+            log_p = (-0.5 * e * e - ls - 0.5 * np.log(2 * np.pi) - np.log(1 - u * u + 1e-6))[:, 0]
+            x = np.column_stack([s, u])
+            least = np.argmin([c.forward(x)[-1][:, 0] for c in self.critics], 0)[:, None]
+            dq = sum(np.where(least == k, c.input_gradient(x, np.ones((n, 1)))[:, 2:], 0.0) for k, c in enumerate(self.critics))
             d_raw = -dq * (1 - u * u) + alpha * 2 * u * (1 - u * u) / (1 - u * u + 1e-6)
             delta = np.column_stack([d_raw, d_raw * np.exp(ls) * e - alpha])
         else:
             dq = self.critics[0].input_gradient(np.column_stack([s, out]), np.ones((n, 1)))[:, 2:]
             delta = -dq * (1 - out * out)
-        grads = []
-        for k in range(len(self.actor.weights) - 1, -1, -1):
-            grads.append((acts[k].T @ delta / n, delta.sum(0) / n))
-            if k:
-                delta = delta @ self.actor.weights[k][0].T * (acts[k] > 0)
-        self.actor.apply(grads[::-1], rate, True)
-
-
-def ppo(spark: SparkSession, rounds: int = 5, episodes: int = 16, steps: int = 50, rate: float = 3e-3, gamma: float = 0.99, lam: float = 0.95, eps: float = 0.2, epochs: int = 4, seed: int = 0) -> tuple[MLP, list[float]]:
-    """(policy mean network, mean return a round): clipped surrogate with a fixed
-    spread; rollouts in parallel tasks, one bounded batch a round on the driver."""
-    std, net, value, history = 0.3, MLP.create([2, 16, 1], "tanh", "tanh", seed), MLP.create([2, 16, 1], "tanh", "linear", seed + 1), []
+        self.actor.apply([(w / n, b / n) for w, b in self.actor.backward(acts, delta)], rate, True)
+        return log_p
+
+    def train(self, spark: SparkSession, rounds: int = 3, episodes: int = 8, steps: int = 50, updates: int = 30, noise=None, warmup: int = 10, seed: int = 0, capacity: int = CAPACITY) -> list[float]:
+        """Rounds of parallel rollouts under the frozen actor with exploration
+        noise (SAC draws its own), and of updates on the newest transitions; in
+        the first round the ``warmup`` steps of each episode are uniform.  Returns
+        the mean return of each round."""
+        history, buffer = [], None
+        noise = noise or (None if self.kind == "sac" else ou_path() if self.kind == "ddpg" else gaussian_path())
+        for k in range(rounds):
+            actor, kind = MLP(self.actor.weights, self.actor.hidden, self.actor.output), self.kind
+
+            def act(s, rng, actor=actor, kind=kind):
+                out = actor.forward(np.atleast_2d(s))[-1][0]
+                return float(np.tanh(out[0] + np.exp(np.clip(out[1], -5, 2)) * rng.standard_normal())) if kind == "sac" else float(out[0])
+
+            data = collect_rollouts(spark, act, episodes, steps, seed + k, noise, warmup if k == 0 else 0)
+            data = cut(data.withColumn("episode", F.col("episode") + k * episodes))
+            history.append(float(data.agg(F.sum("r")).first()[0] / episodes))
+            buffer = data if buffer is None else buffer.unionByName(data)
+            self.learn(buffer, updates, capacity=capacity)
+        return history
+
+
+def _log_softmax(z):
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def ppo(spark: SparkSession, rounds: int = 5, episodes: int = 16, steps: int = 50, rate: float = 3e-3, gamma: float = 0.99, lam: float = 0.95, eps: float = 0.2, epochs: int = 4, seed: int = 0, discrete: bool = False, kl: float | None = None, entropy: float = 0.0) -> tuple[MLP, list[float]]:
+    """(policy network, mean return a round): rollouts in parallel tasks, one
+    bounded batch a round on the driver.
+
+    The policy is a mean with a fixed spread, or ``discrete``, a choice of the
+    five forces.  The surrogate is clipped, or with ``kl`` it is penalised by kl
+    times (ratio - 1 - log ratio).  ``entropy`` weighs the entropy of a discrete
+    policy (that of a fixed spread is constant).
+    """
+    std, history = 0.3, []
+    net = MLP.create([2, 16, len(FORCES)], "tanh", "linear", seed) if discrete else MLP.create([2, 16, 1], "tanh", "tanh", seed)
+    value = MLP.create([2, 16, 1], "tanh", "linear", seed + 1)
     for k in range(rounds):
         frozen = MLP(net.weights, net.hidden, net.output)
-        data = collect_rollouts(spark, lambda s, rng, p=frozen: p.forward(s[None])[-1][0, 0] + std * rng.standard_normal(), episodes, steps, seed + k).toPandas()
+        if discrete:
+            act = lambda s, rng, p=frozen: FORCES[int(rng.choice(len(FORCES), p=np.exp(_log_softmax(p.forward(s[None])[-1]))[0]))]
+        else:
+            act = lambda s, rng, p=frozen: p.forward(s[None])[-1][0, 0] + std * rng.standard_normal()
+        data = collect_rollouts(spark, act, episodes, steps, seed + k).toPandas().sort_values(["episode", "t"])
         s, u, r = np.stack(data["s"]), data["u"].to_numpy(), data["r"].to_numpy()
         v, done = value.forward(s)[-1][:, 0], data["done"].to_numpy()
         adv, run = np.zeros(len(r)), 0.0
@@ -345,21 +452,32 @@ def ppo(spark: SparkSession, rounds: int = 5, episodes: int = 16, steps: int = 5
             nxt = 0.0 if done[t] else v[t + 1]
             run = r[t] + gamma * nxt - v[t] + (0.0 if done[t] else gamma * lam * run)
             adv[t] = run
-        goal, a = (adv + v)[:, None], (adv - adv.mean()) / (adv.std() + 1e-8)
-        old = -0.5 * ((u - frozen.forward(s)[-1][:, 0]) / std) ** 2
+        goal, a, n = (adv + v)[:, None], (adv - adv.mean()) / (adv.std() + 1e-8), len(s)
+        chosen, rows = np.abs(u[:, None] - np.array(FORCES)).argmin(1), np.arange(n)
+
+        def log_prob(out):
+            return _log_softmax(out)[rows, chosen] if discrete else -0.5 * ((u - out[:, 0]) / std) ** 2
+
+        old = log_prob(frozen.forward(s)[-1])
         for _ in range(epochs):
             acts = net.forward(s)
-            mu = acts[-1][:, 0]
-            ratio = np.exp(-0.5 * ((u - mu) / std) ** 2 - old)
-            use = ~(((a > 0) & (ratio > 1 + eps)) | ((a < 0) & (ratio < 1 - eps)))
-            delta = (-(a * ratio * use) * (u - mu) / std**2 * (1 - mu * mu))[:, None]
-            grads = []
-            for i in range(len(net.weights) - 1, -1, -1):
-                grads.append((acts[i].T @ delta / len(s), delta.sum(0) / len(s)))
-                if i:
-                    delta = delta @ net.weights[i][0].T * (1 - acts[i] ** 2)
-            net.apply(grads[::-1], rate, True)
+            out = acts[-1]
+            new = log_prob(out)
+            ratio = np.exp(new - old)
+            if kl is None:
+                gain = a * ratio * ~(((a > 0) & (ratio > 1 + eps)) | ((a < 0) & (ratio < 1 - eps)))
+            else:
+                gain = a * ratio - kl * (ratio - 1)
+            # gain is the surrogate's gradient with respect to the log-probability
+            if discrete:
+                log_p = _log_softmax(out)
+                p = np.exp(log_p)
+                delta = -gain[:, None] * (np.eye(len(FORCES))[chosen] - p)
+                delta += entropy * p * (log_p - (p * log_p).sum(1, keepdims=True))
+            else:
+                delta = (-gain * (u - out[:, 0]) / std**2 * (1 - out[:, 0] ** 2))[:, None]
+            net.apply([(w / n, b / n) for w, b in net.backward(acts, delta)], rate, True)
             g, _ = value.gradients(s, goal)
-            value.apply([(w / len(s), b / len(s)) for w, b in g], rate, True)
+            value.apply([(w / n, b / n) for w, b in g], rate, True)
         history.append(float(r.sum() / episodes))
     return net, history

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,11 @@ class Kalman:
             out.append((xs, ps))
         return out[::-1]
 
+    def predict_obs(self, states: DataFrame) -> DataFrame:
+        """states (with an array column x) with z: the observation expected, h x."""
+        rows = [[float(c) for c in r] for r in np.atleast_2d(self.h)]
+        return states.withColumn("z", F.array(*(sum((F.col("x")[i] * c for i, c in enumerate(r) if c), F.lit(0.0)) for r in rows)))
+
     def apply(self, df: DataFrame, key: str = "key", order: str = "t", value: str = "z", smooth: bool = False) -> DataFrame:
         """(key, t, x, p, log_likelihood so far), filtered or smoothed (RTS)."""
 
@@ -123,6 +128,21 @@ class HMM:
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def sample(self, spark: SparkSession, sequences: int, length: int, seed: int = 0) -> DataFrame:
+        """(seq_id, t, state, obs) of sequences drawn from the model, each from its own generator."""
+
+        def draw(batches):
+            for ids in batches:
+                for seq in ids["id"].tolist():
+                    rng = np.random.Generator(np.random.PCG64([seed, seq]))
+                    u, states = rng.random((2, length)), np.empty(length, np.int64)
+                    for t in range(length):
+                        states[t] = np.searchsorted(np.cumsum(self.pi if t == 0 else self.a[states[t - 1]])[:-1], u[0, t], side="right")
+                    below = np.cumsum(self.b, 1)[states, :-1]
+                    yield pd.DataFrame({"seq_id": seq, "t": np.arange(length), "state": states, "obs": (below <= u[1][:, None]).sum(1)})
+
+        return spark.range(sequences).mapInPandas(draw, "seq_id long, t int, state int, obs int")
+
     def _grouped(self, df, function, schema):
         return df.groupBy("seq_id").applyInPandas(function, schema)
 

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.expressions import uniform
 from ._cut import cut
 
-#: Depth up to which a tree is compiled into one expression (JVM method size).
-COMPILED = 10
+#: Levels of a tree (node numbers are 64-bit), and levels after which rows are written.
+DEEPEST, CUT = 61, 4
+#: Splits of a level up to which they are broadcast.
+SPLITS = 1_000_000
 
 
 def _best_splits(rows: DataFrame, features: list[str], min_rows: int, regression: bool) -> DataFrame:
@@ -60,13 +62,18 @@ def _leaves(rows: DataFrame, regression: bool) -> DataFrame:
     return votes.groupBy("tree", "node").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("k"), "y")).alias("b")).select("tree", "node", "n", F.col("b.y").alias("value"))
 
 
-def grow(rows: DataFrame, features: list[str], max_depth: int, min_rows: int = 2, regression: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+def grow(rows: DataFrame, features: list[str], max_depth: int | None, min_rows: int = 2, regression: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """Nodes (tree, node, depth, n, value, feature, threshold) of trees over rows
     (tree, w, y, features).  The root is 1, children of k are 2k and 2k + 1;
-    inner nodes have a feature.  allowed: (tree, feature) that a tree may use."""
+    inner nodes have a feature.  allowed: (tree, feature) that a tree may use.
+    Without a depth a tree grows until no node splits, to DEEPEST at most, where
+    node numbers end."""
     rows = rows.withColumn("node", F.lit(1).cast("long"))
     nodes = None
+    max_depth = DEEPEST if max_depth is None else min(max_depth, DEEPEST)
     for depth in range(max_depth + 1):
+        if depth and depth % CUT == 0:
+            rows = cut(rows)
         level = _leaves(rows, regression).withColumn("depth", F.lit(depth))
         if depth == max_depth:
             level = level.withColumn("feature", F.lit(None).cast("int")).withColumn("threshold", F.lit(None).cast("double"))
@@ -79,7 +86,7 @@ def grow(rows: DataFrame, features: list[str], max_depth: int, min_rows: int = 2
         if not splits.limit(1).count():
             break
         value = F.element_at(F.array(*(F.col(f).cast("double") for f in features)), F.col("feature") + 1)
-        moved = rows.join(F.broadcast(splits), ["tree", "node"])  # a row for each node of the level
+        moved = rows.join(F.broadcast(splits) if splits.count() <= SPLITS else splits, ["tree", "node"])
         rows = moved.withColumn("node", F.when(value < F.col("threshold"), 2 * F.col("node")).otherwise(2 * F.col("node") + 1)).select("tree", "w", "y", "node", *features)
     return cut(nodes)
 
@@ -92,7 +99,8 @@ def _restricted(rows, features, min_rows, regression, allowed):
     return _best_splits(masked, features, min_rows, regression)
 
 
-def fit(df: DataFrame, features: list[str], label: str, max_depth: int = 5, min_rows: int = 2, regression: bool = False) -> DataFrame:
+def fit(df: DataFrame, features: list[str], label: str, max_depth: int | None = None, min_rows: int = 2, regression: bool = False) -> DataFrame:
+    """Nodes of one tree (see grow)."""
     y = F.col(label).cast("double") if regression else F.col(label)
     xs, names = _named(features)
     return grow(df.select(F.lit(0).alias("tree"), F.lit(1).alias("w"), y.alias("y"), *xs), names, max_depth, min_rows, regression)
@@ -104,7 +112,7 @@ def _named(features: list[str]):
     return [F.col(f).alias(n) for f, n in zip(features, names)], names
 
 
-def forest(df: DataFrame, key: str, features: list[str], label: str, n_trees: int = 100, max_depth: int = 5, min_rows: int = 2, max_features: str | int | None = "sqrt", seed: int = 0, regression: bool = False, weights: DataFrame | None = None) -> DataFrame:
+def forest(df: DataFrame, key: str, features: list[str], label: str, n_trees: int = 100, max_depth: int | None = None, min_rows: int = 2, max_features: str | int | None = "sqrt", seed: int = 0, regression: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """Nodes of a forest.  Bootstrap counts are Poisson(1) from a hash of (tree,
     row), or given as weights (tree, key, w); features are drawn per tree."""
     d = len(features)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.expressions import uniform_sql
 from ..operators import bayes, preparation
+from ..operators._cut import cut
 from .registry import query, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -54,7 +56,7 @@ def multinomial_nb_logprob(spark, sf_dir):
 sc as (select w.id, cl.label, any_value(ln(docs / al)) + sum(w.n * (ln(coalesce(per.n, 0) + 1) - ln(total + v))) s from w cross join cl left join per on per.label = cl.label and per.token = w.token group by w.id, cl.label)
 select id, arg_max(label, s) as prediction from sc group by id""")
 def multinomial_nb_predict(spark, sf_dir):
-    counts = bayes.tokens(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    counts = cut(bayes.tokens(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"))
     classes, tokens = bayes.multinomial_fit(counts)
     return bayes.multinomial_predict(counts.select("id", "token", "n"), classes, tokens)
 
@@ -111,7 +113,7 @@ def value_counts(spark, sf_dir):
     return preparation.value_counts(table(spark, sf_dir, "part"), "p_brand")
 
 
-@query("stable_split")
+@query("stable_split", f"select o_orderkey, case when {uniform_sql(42, 'o_orderkey')} < 0.8 then 'train' else 'test' end as part from orders")
 def stable_split(spark, sf_dir):
     train, test = preparation.split(table(spark, sf_dir, "orders"), 0.8, 42, "o_orderkey")
     return train.select("o_orderkey", F.lit("train").alias("part")).unionByName(test.select("o_orderkey", F.lit("test").alias("part")))

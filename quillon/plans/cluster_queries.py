@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import cluster, decompose, gaussian_process, mixture, pairs
+from ..functions.expressions import uniform_sql
+from ..operators import cluster, decompose, gaussian_process, metrics, mixture, pairs
 from .registry import query, table
 
 
@@ -65,7 +64,17 @@ def kmeans_3_rounds(spark, sf_dir):
     return cluster.assign(e, centres).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("d2"), 5).alias("inertia"))
 
 
-@query("kmeans_plus_plus")
+def _plus_plus_sql(k: int, seed: int, rounds: int) -> str:
+    """k drawn centres c0 (c, v), and rounds of assignment after them."""
+    draws = [f"d0 as (select v from e order by -ln(1 - {uniform_sql(seed, 'id')}), id limit 1)"]
+    for i in range(1, k):
+        u, chosen = uniform_sql(seed + i, "id"), " union all ".join(f"select v from d{j}" for j in range(i))
+        draws.append(f"d{i} as (select v from (select e.id, any_value(e.v) v, min(list_distance(e.v, d.v)) ** 2 w from e, ({chosen}) d group by e.id) order by case when w > 0 then -ln(1 - {u}) / w else 1e300 + {u} end, id limit 1)")
+    start = "c0 as (" + " union all ".join(f"select {i} as c, v from d{i}" for i in range(k)) + ")"
+    return f"with {_E}, {', '.join(draws)}, {start}, {', '.join(map(_lloyd, range(rounds + 1)))}"
+
+
+@query("kmeans_plus_plus", f"{_plus_plus_sql(5, 1, 5)} select c::int as cluster, count(*) as n from a5 group by c")
 def kmeans_plus_plus(spark, sf_dir):
     e = vectors(spark, sf_dir).select("id", "v")
     centres, _, _ = cluster.kmeans(e, cluster.plus_plus(e, 5, 1), 5)
@@ -75,6 +84,23 @@ def kmeans_plus_plus(spark, sf_dir):
 _NEAR = f"{_E}, near as (select a.id a, b.id b from e a, e b where list_distance(a.v, b.v) <= 1.15), core as (select a as id from near group by a having count(*) >= 4), ce as (select near.a, near.b from near where a in (from core) and b in (from core))"
 
 
+@query("kmeans_random_start", f"with {_E}, c0 as (select row_number() over (order by u, id) - 1 as c, v from (select id, v, {uniform_sql(3, 'id')} u from e) order by u, id limit 4), {_lloyd(0)}, {_lloyd(1)}, {_lloyd(2)} select c::int as cluster, count(*) as n from a2 group by c")
+def kmeans_random_start(spark, sf_dir):
+    e = vectors(spark, sf_dir).select("id", "v")
+    centres, _, _ = cluster.kmeans(e, cluster.random_start(e, 4, 3), 2, -1.0)
+    return cluster.assign(e, centres).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+_CELLS = f"{_C0}, {_lloyd(0)}, cell as (select c, label, count(*) n from a0 join e using (id) group by c, label)"
+
+
+@query("cluster_label_match", f"{_CELLS} select round(max(x.n + y.n + z.n) / (select count(*) from e)::double, 8) as agreement from (select label, n from cell where c = 0 union all values (-1, 0)) x, (select label, n from cell where c = 1 union all values (-2, 0)) y, (select label, n from cell where c = 2 union all values (-3, 0)) z where x.label <> y.label and y.label <> z.label and x.label <> z.label")
+def cluster_label_match(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    found = cluster.assign(e.select("id", "v", "label"), first(e.select("id", "v"), 3))
+    return spark.createDataFrame([(round(metrics.match_labels(found, "label", "cluster")[1], 8),)], "agreement double")
+
+
 @query("dbscan", f"""with recursive {_NEAR}, reach(id, root) as (select id, id from core union select ce.b, reach.root from reach join ce on ce.a = reach.id),
 k as (select id, min(root) comp from reach group by id), n as (select id, dense_rank() over (order by comp)::int as cluster from k),
 border as (select near.a as id, min(n.cluster) as cluster from near join n on n.id = near.b group by near.a)
@@ -101,6 +127,18 @@ def kmedoids_round(spark, sf_dir):
     return cluster.kmedoids_round(e, start).select("cluster", "medoid", F.round("cost", 5).alias("cost"))
 
 
+@query("pam_best_swap", f"""with {_E}, m as (select id, v from e order by id limit 3), t as (select e.id, m.id mid, list_distance(e.v, m.v) d from e, m),
+n as (select id, first(mid order by d, mid) own, min(d) d1, list_sort(list(d))[2] d2 from t group by id),
+s as (select h.id candidate, m.id medoid, sum(case when n.own = m.id then least(list_distance(h.v, x.v), n.d2) else least(list_distance(h.v, x.v), n.d1) end) cost
+  from e h, m, e x join n on n.id = x.id where h.id not in (select id from m) group by h.id, m.id)
+select candidate, medoid, round(cost, 5) as cost from s order by round(cost, 9), candidate, medoid limit 1""")
+def pam_best_swap(spark, sf_dir):
+    e = vectors(spark, sf_dir).select("id", "v")
+    start = [r["id"] for r in e.orderBy("id").limit(3).collect()]
+    best = cluster.pam_swaps(e, start).agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "candidate", "medoid")).alias("b"))
+    return best.select("b.candidate", "b.medoid", F.round("b.cost", 5).alias("cost"))
+
+
 def _suppliers(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey").cast("double")).alias("v"))
 
@@ -115,6 +153,12 @@ def ward(spark, sf_dir):
     return cluster.agglomerative(_suppliers(spark, sf_dir), 4, "ward")
 
 
+@query("dendrogram")
+def dendrogram(spark, sf_dir):
+    out = cluster.dendrogram(_suppliers(spark, sf_dir), "average")
+    return out.withColumn("distance", F.round("distance", 6))
+
+
 @query("som_best_units")
 def som(spark, sf_dir):
     e = vectors(spark, sf_dir).select("id", "v")
@@ -137,7 +181,7 @@ def pca_projection(spark, sf_dir):
 
 @query("fast_ica")
 def ica(spark, sf_dir):
-    e = vectors(spark, sf_dir).select("id", F.slice("v", 1, 4).alias("v"))
+    e = vectors(spark, sf_dir).select("id", "v")
     w, mean = decompose.fast_ica(e, 2, 10)
     return decompose._map(e, lambda x: (x - mean) @ w.T).select("id", F.round(F.col("v")[0], 4).alias("s1"), F.round(F.col("v")[1], 4).alias("s2"))
 
@@ -147,18 +191,24 @@ def tsne_affinities(spark, sf_dir):
     return decompose.affinities(vectors(spark, sf_dir).select("id", "v"), 10.0).groupBy("a").agg(F.count("*").alias("n"), F.round(F.sum("p"), 6).alias("total"))
 
 
+@query("tsne_embedding")
+def tsne_embedding(spark, sf_dir):
+    ids, y = decompose.tsne(_suppliers(spark, sf_dir), 2, 3.0, 300)
+    return spark.createDataFrame([(int(i), round(float(a), 4), round(float(b), 4)) for i, (a, b) in zip(ids, y)], "id long, y1 double, y2 double")
+
+
 @query("squared_distances", f"with {_E} select a.id, round(sum(list_distance(a.v, b.v) ** 2), 4) as d2 from e a, e b group by a.id")
 def squared_distances(spark, sf_dir):
-    return pairs.within(vectors(spark, sf_dir).select("id", "v"), math.inf).groupBy(F.col("a").alias("id")).agg(F.round(F.sum("d2"), 4).alias("d2"))
+    return pairs.row_sums(vectors(spark, sf_dir).select("id", "v"), {"d2": lambda d2: d2}).select("id", F.round("d2", 4).alias("d2"))
 
 
 @query("kernel_rows", f"""with {_E}, d as (select a.id, list_distance(a.v, b.v) d from e a, e b)
 select id, round(sum(4 * exp(-d * d / (2 * 0.25))), 5) as rbf, round(sum((1 + sqrt(5) * d / 0.5 + 5 * d * d / 0.75) * exp(-sqrt(5) * d / 0.5)), 5) as matern52,
 round(sum(exp(-2 * sin(pi() * d / 3) * sin(pi() * d / 3))), 5) as periodic from d group by id""")
 def kernel_rows(spark, sf_dir):
-    d2 = F.col("d2")
-    p = pairs.within(vectors(spark, sf_dir).select("id", "v"), math.inf)
-    return p.groupBy(F.col("a").alias("id")).agg(F.round(F.sum(pairs.rbf(d2, 0.5, 2.0)), 5).alias("rbf"), F.round(F.sum(pairs.matern52(d2, 0.5)), 5).alias("matern52"), F.round(F.sum(pairs.periodic(F.sqrt(d2), 1.0, 3.0)), 5).alias("periodic"))
+    kernels = {"rbf": gaussian_process.Kernel("rbf", 0.5, 2.0), "matern52": gaussian_process.Kernel("matern52", 0.5), "periodic": gaussian_process.Kernel("periodic", 1.0, period=3.0)}
+    sums = pairs.row_sums(vectors(spark, sf_dir).select("id", "v"), {k: kernel.of_squared for k, kernel in kernels.items()})
+    return sums.select("id", *(F.round(k, 5).alias(k) for k in kernels))
 
 
 @query("gaussian_process")
@@ -186,6 +236,6 @@ def em_1d(spark, sf_dir):
 
 @query("gaussian_mixture")
 def gmm(spark, sf_dir):
-    e = vectors(spark, sf_dir).select("id", F.slice("v", 1, 4).alias("v"))
-    means, covs, weights, _, _ = mixture.gmm(e, 3, 5)
+    e = vectors(spark, sf_dir).select("id", "v")
+    means, covs, weights, _, _ = mixture.gmm(e, 3, 5, reg=1e-2)
     return mixture.gmm_predict(e, means, covs, weights).select("id", "cluster", F.round(F.array_max("probability"), 5).alias("p"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.expressions import gelu, layer_norm, soft_threshold, softmax
-from ..operators import metrics, neural
+from ..functions.expressions import gelu, layer_norm, soft_threshold, softmax, uniform_sql
+from ..operators import metrics, neural, preparation
 from .cluster_queries import _E, vectors
 from .registry import query, table
+from .sql import history_sql, network_training
 
 
 def _sum(a):
@@ -26,9 +27,7 @@ def activations(spark, sf_dir):
 @query("attention", f"""with {_E}, s as (select a.id, b.id k, b.v, list_dot_product(a.v, b.v) / 8 s from e a join e b on a.label = b.label), w as (select id, k, v, exp(s - max(s) over (partition by id)) w from s)
 select id, round(sum(w * v[1]) / sum(w), 6) as o1, round(sum(w * v[64]) / sum(w), 6) as o64 from w group by id""")
 def attention(spark, sf_dir):
-    e = vectors(spark, sf_dir)
-    keys = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("keys"))
-    out = e.join(keys, "label").withColumn("o", neural.attention(F.col("v"), F.col("keys"), F.col("keys"), 64))
+    out = neural.attention_within(vectors(spark, sf_dir), "label")
     return out.select("id", F.round(F.col("o")[0], 6).alias("o1"), F.round(F.col("o")[63], 6).alias("o64"))
 
 
@@ -38,16 +37,16 @@ def positional(spark, sf_dir):
     return p.crossJoin(i).select("p", "i", (F.round(neural.positional_encoding(F.col("p"), F.col("i"), 16), 8) + 0.0).alias("v"))
 
 
-@query("hopfield_weights", f"with {_E}, x as (select id, i - 1 as i, case when v[i] >= 0 then 1 else -1 end x from e, range(1, 17) t(i)) select a.i::int as i, b.i::int as j, sum(a.x * b.x)::bigint as w from x a join x b on a.id = b.id and a.i <> b.i group by a.i, b.i")
+@query("hopfield_weights", f"with {_E}, x as (select id, i - 1 as i, case when v[i] >= 0 then 1 else -1 end x from e, range(1, 65) t(i)) select a.i::int as i, b.i::int as j, sum(a.x * b.x)::bigint as w from x a join x b on a.id = b.id and a.i <> b.i group by a.i, b.i")
 def hopfield(spark, sf_dir):
     return neural.hopfield_weights(_signs(spark, sf_dir)).select("i", "j", F.col("w").cast("long").alias("w"))
 
 
 def _signs(spark, sf_dir):
-    return vectors(spark, sf_dir).select("id", F.transform(F.slice("v", 1, 16), lambda x: F.when(x >= 0, 1).otherwise(-1)).alias("v"))
+    return vectors(spark, sf_dir).select("id", F.transform("v", lambda x: F.when(x >= 0, 1).otherwise(-1)).alias("v"))
 
 
-@query("hopfield_recall", f"""with {_E}, x as (select id, i, case when v[i] >= 0 then 1 else -1 end x from e, range(1, 17) t(i)), w as (select a.i, b.i j, sum(a.x * b.x) w from x a join x b on a.id = b.id and a.i <> b.i group by a.i, b.i)
+@query("hopfield_recall", f"""with {_E}, x as (select id, i, case when v[i] >= 0 then 1 else -1 end x from e, range(1, 65) t(i)), w as (select a.i, b.i j, sum(a.x * b.x) w from x a join x b on a.id = b.id and a.i <> b.i group by a.i, b.i)
 select id, string_agg(case when s >= 0 then '+' else '-' end, '' order by i) as state from (select x.id, w.i, sum(w.w * x.x) s from x join w on w.j = x.i group by x.id, w.i) group by id""")
 def recall(spark, sf_dir):
     signs = _signs(spark, sf_dir)
@@ -94,24 +93,33 @@ def _history(spark, h):
     return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(h)], "round int, loss double")
 
 
-@query("mlp_training")
+_NX = f"{_E}, x as (select id, i, v[i] x from e, range(1, 65) t(i))"
+_ONE_HOT = "y as (select id, (k + 1)::int as k, case when label = k then 1.0 else 0.0 end::double as y from e, range(10) t(k))"
+_HALF = "y as (select id, 1 as k, case when label < 5 then 1.0 else 0.0 end::double as y from e)"
+
+
+def _training(target: str, net, rounds: int, rate: float, adam: bool = False) -> str:
+    return f"with {_NX}, {target}, {network_training('x', 'y', net.weights, net.hidden, net.output, rounds, rate, adam)} {history_sql(rounds)}"
+
+
+@query("mlp_training", _training(_ONE_HOT, neural.MLP.create([64, 16, 10], "sigmoid", "softmax", 0), 5, 0.05, True))
 def mlp_training(spark, sf_dir):
     return _history(spark, neural.MLP.create([64, 16, 10], "sigmoid", "softmax", 0).fit(_labelled(spark, sf_dir), 5, 0.05, True))
 
 
-@query("perceptron_training")
+@query("perceptron_training", _training(_HALF, neural.MLP.create([64, 1], "linear", "sigmoid", 0), 5, 0.5))
 def perceptron(spark, sf_dir):
     e = vectors(spark, sf_dir).select("id", "v", F.array((F.col("label") < 5).cast("double")).alias("y"))
     return _history(spark, neural.MLP.create([64, 1], "linear", "sigmoid", 0).fit(e, 5, 0.5))
 
 
-@query("perceptron_regression")
+@query("perceptron_regression", _training("y as (select id, 1 as k, label::double as y from e)", neural.MLP.create([64, 1], "linear", "linear", 0), 5, 0.1))
 def perceptron_regression(spark, sf_dir):
     e = vectors(spark, sf_dir).select("id", "v", F.array(F.col("label").cast("double")).alias("y"))
     return _history(spark, neural.MLP.create([64, 1], "linear", "linear", 0).fit(e, 5, 0.1))
 
 
-@query("autoencoder_training")
+@query("autoencoder_training", _training("y as (select id, i::int as k, x as y from x)", neural.autoencoder(64, 8), 5, 0.01, True))
 def auto(spark, sf_dir):
     e = vectors(spark, sf_dir).select("id", "v", F.col("v").alias("y"))
     return _history(spark, neural.autoencoder(64, 8).fit(e, 5, 0.01, True))
@@ -128,17 +136,30 @@ def kl(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", F.round(_sum(F.transform("v", lambda x: metrics.kl_normal(x, F.lit(-3.0), 0.5))), 6).alias("kl"))
 
 
-_W = np.array([[((i * 3 + j * 5) % 7 - 3) / 10 for j in range(8)] for i in range(8)])
+def _weights(n: int, m: int) -> np.ndarray:
+    return np.array([[((i * 3 + j * 5) % 7 - 3) / 10 for j in range(m)] for i in range(n)])
 
 
-@query("boltzmann_energy", f"with {_E}, w as (select * from (values {', '.join(f'({i + 1}, {j + 9}, {_W[i, j]})' for i in range(8) for j in range(8))}) t(i, j, w)) select id, round(-sum(v[i] * w * v[j]), 8) + 0.0 as energy from e, w group by id")
+_WSQL = "(((i * 3 + j * 5) % 7 - 3) / 10.0)::double"
+
+
+@query("boltzmann_energy", f"with {_E}, w as (select i, j, {_WSQL} w from range(32) a(i), range(32) b(j)) select id, round(-sum(v[i + 1] * w * v[j + 33]), 7) + 0.0 as energy from e, w group by id")
 def energy(spark, sf_dir):
-    return vectors(spark, sf_dir).select("id", (F.round(neural.boltzmann_energy(F.slice("v", 1, 8), F.slice("v", 9, 8), _W), 8) + 0.0).alias("energy"))
+    return vectors(spark, sf_dir).select("id", (F.round(neural.boltzmann_energy(F.slice("v", 1, 32), F.slice("v", 33, 32), _weights(32, 32)), 7) + 0.0).alias("energy"))
+
+
+def _gibbs(rounds: int, units: int) -> str:
+    ctes = [f"w as (select i, j, {_WSQL} w from range(64) a(i), range({units}) b(j))", "v0 as (select id, i - 1 as i, case when v[i] > 0 then 1.0 else 0.0 end x from e, range(1, 65) t(i))"]
+    for k in range(rounds):
+        name, back = f"'h{k}'", f"'v{k}'"
+        ctes.append(f"h{k} as (select id, j, case when {uniform_sql(0, 'id', name, 'j')} < 1 / (1 + exp(-sum(x * w))) then 1.0 else 0.0 end x from v{k} join w using (i) group by id, j)")
+        ctes.append(f"v{k + 1} as (select id, i, case when {uniform_sql(0, 'id', back, 'i')} < 1 / (1 + exp(-sum(x * w))) then 1.0 else 0.0 end x from h{k} join w using (j) group by id, i)")
+    return f"with {_E}, {', '.join(ctes)} select id, sum(x)::double as \"on\" from h{rounds - 1} group by id"
 
 
-@query("boltzmann_sampling")
+@query("boltzmann_sampling", _gibbs(3, 16))
 def boltzmann(spark, sf_dir):
-    return neural.boltzmann_sample(vectors(spark, sf_dir).select("id", F.transform(F.slice("v", 1, 8), lambda x: (x > 0).cast("double")).alias("v")), _W, 3).select("id", _sum(F.col("h")).alias("on"))
+    return neural.boltzmann_sample(vectors(spark, sf_dir).select("id", F.transform("v", lambda x: (x > 0).cast("double")).alias("v")), _weights(64, 16), 3).select("id", _sum(F.col("h")).alias("on"))
 
 
 @query("rbf_activations", f"with {_E}, c as (select row_number() over (order by id) k, v from e order by id limit 3) select e.id, round(sum(exp(-(list_distance(e.v, c.v) ** 2) / 2) * k), 6) as a from e, c group by e.id")
@@ -157,10 +178,24 @@ def complex_layer(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", z.alias("z")).select("id", F.round("z.re", 8).alias("re"), (F.round("z.im", 8) + 0.0).alias("im"))
 
 
-@query("lstm_states")
+_RNG = np.random.Generator(np.random.PCG64(2))
+_LSTM = _RNG.standard_normal((2, 12)) / 4, _RNG.standard_normal((3, 12)) / 4, np.zeros(12)
+
+
+def _lstm_sql() -> str:
+    wx, wh, b = _LSTM
+    gate = lambda c: f"{float(wx[0, c])!r} * (r.v / 50) + {float(wx[1, c] + b[c])!r} + " + " + ".join(f"{float(wh[i, c])!r} * k.h{i}" for i in range(3))
+    sig = lambda z: f"(1 / (1 + exp(-({z}))))"
+    cells = ", ".join(f"{sig(gate(j))} * k.c{j} + {sig(gate(3 + j))} * tanh({gate(6 + j)}) c{j}, {sig(gate(9 + j))} o{j}" for j in range(3))
+    outs = ", ".join(f"o{j} * tanh(c{j}), c{j}" for j in range(3))
+    names = ", ".join(f"h{j}, c{j}" for j in range(3))
+    zeros = ", ".join(["0.0::double"] * 6)
+    return f"with recursive r as (select user_id u, row_number() over (partition by user_id order by ts, value) t, value v from events), k(u, t, {names}) as (select u, 0::bigint, {zeros} from r where t = 1 union all select u, t, {outs} from (select r.u, r.t, {cells} from k join r on r.u = k.u and r.t = k.t + 1)) select u as user_id, max(t)::int as n, round(arg_max(h0, t), 6) as h0 from k group by u"
+
+
+@query("lstm_states", _lstm_sql())
 def lstm(spark, sf_dir):
-    rng = np.random.Generator(np.random.PCG64(2))
-    wx, wh, b = rng.standard_normal((2, 12)) / 4, rng.standard_normal((3, 12)) / 4, np.zeros(12)
+    wx, wh, b = _LSTM
     e = table(spark, sf_dir, "events").select("user_id", "ts", F.array(F.col("value") / 50, F.lit(1.0)).alias("v"))
     return neural.over_sequences(e, "user_id", "ts", lambda x: neural.lstm(x, wx, wh, b)[0]).select("user_id", F.size("out").alias("n"), F.round(F.element_at("out", -1)[0], 6).alias("h0"))
 
@@ -185,3 +220,19 @@ def encoder_decoder(spark, sf_dir):
 def gan(spark, sf_dir):
     gen, _ = neural.gan_1d(table(spark, sf_dir, "events").select((F.col("value") / 50).alias("x")), "x", 3)
     return spark.createDataFrame([(float(gen.weights[0][0][0, 0]), float(gen.weights[0][1][0]))], "scale double, shift double")
+
+
+@query("hyper_parameter_search")
+def search(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    train, test = preparation.split(rows, 0.7, 9, "id")
+    _, trials = neural.search(train, test, (64, 10), 3, rounds=(2, 4))
+    return spark.createDataFrame([(i, t["hidden"], t["activation"], round(t["accuracy"], 6)) for i, t in enumerate(trials)], "trial int, hidden int, activation string, accuracy double")
+
+
+@query("misclassified")
+def misclassified(spark, sf_dir):
+    net = neural.MLP.create([64, 8, 10], "relu", "softmax", 0)
+    rows = _labelled(spark, sf_dir)
+    net.fit(rows, 3, 0.1, True)
+    return net.misclassified(rows)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.expressions import uniform_sql
 from ..operators import reinforcement as rl
-from ..operators import sequence
+from ..operators import metrics, sequence
 from ..streaming import online
 from .registry import query, table
+from .sql import baum_welch as baum_welch_sql
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 _CODE = "case event_type " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(TYPES)) + " end"
@@ -32,11 +34,17 @@ def kalman_1d(spark, sf_dir):
     return s.select("user_id", F.size("steps").cast("long").alias("n"), F.round("k.x", 6).alias("x"), F.round("k.p", 8).alias("p"), F.round("k.ll", 4).alias("log_likelihood"))
 
 
-@query("kalman_velocity_filter")
+_VELOCITY = """k(u, t, x, v, a, b, c) as (select u, 0::bigint, 0.0::double, 1.0::double, 1.0::double, 0.0::double, 1.0::double from r where t = 1 union all
+  select u, t, xp + pa / s * e, vp + pb / s * e, (1 - pa / s) * pa, (1 - pa / s) * pb, pc - pb / s * pb from (select *, z - xp e, pa + 0.5 s from
+    (select r.u, r.t, r.z, k.x + k.v xp, k.v vp, k.a + 2 * k.b + k.c + 0.01 pa, k.b + k.c pb, k.c + 0.01 pc from k join r on r.u = k.u and r.t = k.t + 1)))"""
+
+
+@query("kalman_velocity_filter", f"with recursive {_ROWS}, {_VELOCITY} select u as key, t, round(x, 5) as level, round(v, 5) as speed, round(x, 5) as expected from k where t > 0")
 def kalman_velocity(spark, sf_dir):
     model = sequence.Kalman(np.array([[1.0, 1.0], [0.0, 1.0]]), np.array([[1.0, 0.0]]), 0.01 * np.eye(2), np.array([[0.5]]), np.array([0.0, 1.0]), np.eye(2))
-    rows = events(spark, sf_dir).select("user_id", "ts", F.array("value").alias("z"))
-    return model.apply(rows, "user_id", "ts").select("key", "t", F.round(F.col("x")[0], 5).alias("level"), F.round(F.col("x")[1], 5).alias("speed"))
+    rows = _steps(spark, sf_dir).select("user_id", F.posexplode("steps").alias("t", "s")).select("user_id", (F.col("t") + 1).cast("long").alias("t"), F.array("s.value").alias("z"))
+    out = model.predict_obs(model.apply(rows, "user_id", "t"))
+    return out.select("key", "t", F.round(F.col("x")[0], 5).alias("level"), F.round(F.col("x")[1], 5).alias("speed"), F.round(F.col("z")[0], 5).alias("expected"))
 
 
 @query("rts_smoother", f"""with recursive {_ROWS}, k(u, t, xp, pp, x, p) as (select u, 0::bigint, 0.0::double, 0.0::double, 0.0::double, 100.0::double from r where t = 1 union all
@@ -78,10 +86,19 @@ def hmm_viterbi(spark, sf_dir):
     return d.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "state"))), lambda s: s["state"].cast("string")), "").alias("path"))
 
 
-@query("hmm_baum_welch")
+_START = sequence.HMM.random(2, 5, 1)
+
+
+@query("hmm_baum_welch", baum_welch_sql(f"select user_id u, row_number() over (partition by user_id order by ts, event_id) t, {_CODE} o from events", _START.pi, _START.a, _START.b, 3))
 def baum_welch(spark, sf_dir):
-    model, history = sequence.HMM.random(2, 5, 1).fit(_seqs(spark, sf_dir), 3)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(history)], "round int, log_likelihood double")
+    model, history = _START.fit(_seqs(spark, sf_dir), 3)
+    return spark.createDataFrame([(i, round(float(x), 4)) for i, x in enumerate(history)], "round int, log_likelihood double")
+
+
+@query("hmm_samples")
+def hmm_samples(spark, sf_dir):
+    drawn = _HMM.sample(spark, 200, 50, 3)
+    return drawn.groupBy("state", "obs").agg(F.count("*").alias("n"))
 
 
 @query("markov_transitions", f"""with {_ROWS}, x as (select o as state, lead(o) over (partition by u order by t) as next from r)
@@ -178,7 +195,7 @@ def replay_ring(spark, sf_dir):
     return rl.ring(events(spark, sf_dir).select("event_id"), "event_id", 100)
 
 
-@query("replay_sample")
+@query("replay_sample", f"select event_id from events order by {uniform_sql(1, 'event_id')}, event_id limit 64")
 def replay(spark, sf_dir):
     return rl.replay_sample(events(spark, sf_dir), "event_id", 64, 1).select("event_id")
 
@@ -195,9 +212,9 @@ def per(spark, sf_dir):
     return rl.prioritised_sample(df, "event_id", "delta", _DRAWS).select("draw", "event_id", F.round("weight", 6).alias("weight"))
 
 
-@query("ou_noise")
+@query("ou_noise", f"with u as (select distinct user_id from events) select user_id, round(sum((1 - 0.15 * 0.01) ** (50 - i) * 0.2 * sqrt(0.01) * sqrt(-2 * ln(1 - {uniform_sql(5, 'user_id', 'i')})) * cos(2 * pi() * {uniform_sql(7924, 'user_id', 'i')})), 8) as x from u, range(1, 51) t(i) group by user_id")
 def ou(spark, sf_dir):
-    return events(spark, sf_dir).select("user_id").distinct().select("user_id", F.element_at(rl.ou_noise(F.lit(50), F.col("user_id"), 5), -1).alias("x"))
+    return events(spark, sf_dir).select("user_id").distinct().select("user_id", F.round(F.element_at(rl.ou_noise(F.lit(50), F.col("user_id"), 5), -1), 8).alias("x"))
 
 
 _V = "value / 50"
@@ -256,11 +273,21 @@ def dqn(spark, sf_dir):
     return _losses(spark, rl.DQN.create().learn(_experience(spark), 60))
 
 
+@query("dueling_dqn_losses")
+def dueling_dqn(spark, sf_dir):
+    return _losses(spark, rl.DQN.create(dueling=True).learn(_experience(spark), 60, tau=None, every=10, prioritised=True))
+
+
 @query("ddpg_losses")
 def ddpg(spark, sf_dir):
     return _losses(spark, rl.ActorCritic.create("ddpg").learn(_experience(spark), 60))
 
 
+@query("ddpg_returns")
+def ddpg_returns(spark, sf_dir):
+    return _losses(spark, rl.ActorCritic.create("ddpg").train(spark, 2))
+
+
 @query("td3_losses")
 def td3(spark, sf_dir):
     return _losses(spark, rl.ActorCritic.create("td3").learn(_experience(spark), 60))
@@ -268,9 +295,26 @@ def td3(spark, sf_dir):
 
 @query("sac_losses")
 def sac(spark, sf_dir):
-    return _losses(spark, rl.ActorCritic.create("sac").learn(_experience(spark), 60))
+    return _losses(spark, rl.ActorCritic.create("sac").learn(_experience(spark), 60, alpha=None))
 
 
 @query("ppo_returns")
 def ppo(spark, sf_dir):
     return _losses(spark, rl.ppo(spark, 3)[1])
+
+
+@query("ppo_discrete_returns")
+def ppo_discrete(spark, sf_dir):
+    return _losses(spark, rl.ppo(spark, 2, discrete=True, entropy=0.01)[1])
+
+
+@query("ppo_penalised_returns")
+def ppo_penalised(spark, sf_dir):
+    return _losses(spark, rl.ppo(spark, 2, kl=1.0)[1])
+
+
+@query("perplexity", "with p as (select user_id, event_type, count(*) / sum(count(*)) over (partition by user_id)::double p from events group by user_id, event_type) select user_id, round(-sum(p * log2(p)), 8) as entropy, round(2 ** -sum(p * log2(p)), 8) as perplexity from p group by user_id")
+def perplexity(spark, sf_dir):
+    n = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.collect_list("n").alias("n"))
+    p = F.transform("n", lambda x: x / F.aggregate("n", F.lit(0).cast("long"), lambda t, y: t + y))
+    return n.select("user_id", p.alias("p")).select("user_id", F.round(metrics.entropy_bits(F.col("p")), 8).alias("entropy"), F.round(metrics.perplexity(F.col("p")), 8).alias("perplexity"))
