@@ -51,6 +51,9 @@ STEPS = 400
 KNOWN, LONG = 300_000, 64
 #: Characters whose kind is the same in all versions of Unicode.
 _PLAIN = re.compile("[\0-\x1b\x20-\x84\x86-\x9f\xa1-\u024f\u2010-\u2027\u2030-\u205e\u4e00-\u9fa5\U0001f300-\U0001f64f]*")
+#: Where that pattern always cuts: before a run without white space, with one
+#: space before it, and before a run of white space.
+_UNITS = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 # Fixed value: the pattern of byte-level vocabularies.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _encoders: dict = {}
@@ -78,25 +81,36 @@ class Encoder:
         before = made["pre_tokenizer"] or {}
         self.by_word = made["model"]["type"] == "BPE" and not made["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.letters = _byte_letters()
+        self.space = chr(self.letters[0x20])
         self.known: dict[str, list[int]] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+
+    def _unit(self, unit: str) -> list[int]:
+        """Ids of a run without white space (and one space before it) or of white space."""
+        spaced = unit[0] == " "
+        own = unit[1:] if spaced else unit
+        if own.isalpha():  # one word
+            ids = [t.id for t in self.model.tokenize(self.space + own if spaced else own)] if own.isascii() else self._word(unit)
+        else:
+            ids = []
+            for word in _WORDS.findall(unit):
+                ids += self.known.get(word) or self._word(word)
+        if len(unit) <= LONG:
+            self.known[unit] = ids
+        return ids
+
     def __call__(self, text: str) -> list[int]:
         if not self.by_word or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        words, known = _WORDS.findall(text), self.known
-        if len(known) > KNOWN:
-            known.clear()
-        new = {w for w in words if w not in known}
-        for w in new:
-            known[w] = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
-        ids = list(chain.from_iterable([known[w] for w in words]))
-        for w in new:
-            if len(w) > LONG:
-                del known[w]
-        return ids
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        known, unit = self.known.get, self._unit
+        return list(chain.from_iterable([known(u) or unit(u) for u in _UNITS.findall(text)]))
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
@@ -120,7 +134,9 @@ def pieces(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, vocabu
         for batch in batches:
             out = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encode(text or ""), closing], "<u4")
+                ids = encode(text or "")
+                ids.append(closing)
+                ids = np.array(ids, "<u4")
                 ends = list(range(len(ids), 0, -length))[::-1]
                 for piece, (a, b) in enumerate(zip([0, *ends], ends)):
                     for k, x in enumerate((doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
