@@ -4,6 +4,7 @@ import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -36,7 +37,7 @@ def _rows(frame):
 def test_query(spark, duck, name):
     got = catalogue.QUERIES[name](spark, DATA).toPandas()
     if name not in catalogue.ORACLES:
-        assert len(got) > 0
+        assert len(got) > 0 and not [c for c in got if got[c].dtype.kind == "f" and not np.isfinite(got[c]).all()]
         return
     want = duck.execute(catalogue.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
