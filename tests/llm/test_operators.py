@@ -235,6 +235,20 @@ def plain_entropy(text, base):
     return [f"entropy:{a}:{b}" for a, b in out if not any(s[0] <= a and b <= s[2] for s in base)]
 
 
+def test_secret_scan_rows(spark):
+    """Null and repeated ids, columns named like the operator's own, and very many matches in one text."""
+    rows = [(None, "token = abcdef"), (1, "token = abcdef"), (1, "token = abcdef"), (2, None)]
+    got = sorted((r["doc_id"] or 0, r["spans"]) for r in rows_of(secret_scan.report(frame(spark, rows))))
+    assert got == [(0, "assign:0:14"), (1, "assign:0:14"), (1, "assign:0:14"), (2, "")]
+    named = spark.createDataFrame([("x token = abcdef", 1, 2, 3, 4)], "text string, spans int, secret_spans int, base int, more int")
+    (r,) = rows_of(secret_scan.redact(named, "it's [\\]"))
+    assert r == {"text": "x it's [\\]", "spans": 1, "secret_spans": 2, "base": 3, "more": 4}
+    text = "".join(f"{'\u00e9' * (k % 3)} token: value{k} pwd" for k in range(2300))
+    (r,) = rows_of(secret_scan.report(frame(spark, {1: text})))
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer("token: [a-z0-9]+", text)]
+    assert r["n_assign"] == 2300 and r["spans"].split(",") == want
+
+
 def test_redact(spark):
     got = {r["doc_id"]: r["text"] for r in rows_of(secret_scan.redact(frame(spark, dict(enumerate(SECRETS)))))}
     assert got[2] == '[secret]" and [secret]' and got[0] is None and got[3] == "[secret]: abcdefgh"
@@ -327,24 +341,63 @@ def test_language_id(spark):
     assert language_id.predict(frame(spark, {}).limit(0)).count() == 0
 
 
+def plain_grams(text):
+    """Counts of a text's n-grams by their number: letters in lower case, one boundary for what lies between."""
+    mask, symbols = (1 << 64) - 1, [0]
+    for c in text:
+        symbol = (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+        if symbol or symbols[-1]:
+            symbols.append(symbol)
+    if symbols[-1]:
+        symbols.append(0)
+    out = {}
+    for n in (1, 2, 3):
+        for k in range(len(symbols) - n + 1):
+            run = symbols[k : k + n]
+            if any(run) and not (n == 3 and not run[1]):
+                x = 0
+                for symbol in run:
+                    x = (x << 21 | symbol) & mask
+                x = (x + n * 0x9E3779B97F4A7C15) & mask
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+                x = (x ^ x >> 31) >> 16
+                out[x] = out.get(x, 0) + 1
+    return out
+
+
 def test_language_id_distance(spark):
-    texts = {i: t for i, t in corpus().items() if any(c.isalpha() for c in t or "") and len(t) < 3000}
+    texts = {i: t for i, t in corpus().items() if any(c.isalpha() for c in t or "") and len(t) < 3000} | {300: "Éa bÉ!a", 301: "İx ǅ", 302: "tie", 303: "tie"}
     langs = {i: "pq" if i % 2 else "rs" for i in texts}
     df = frame(spark, texts, lambda i: langs[i])
     profiles = language_id.learn(df.select("text", "lang"), 50)
-    table = {}
-    for r in profiles.collect():
-        table.setdefault(r["lang"], {})[r["gram"]] = r["place"] - 1
+    totals = {}
+    for i, t in texts.items():
+        for g, n in plain_grams(t).items():
+            own = totals.setdefault(langs[i], {})
+            own[g] = own.get(g, 0) + n
+    ranked = lambda counts: [g for _, g in sorted((-n, g) for g, n in counts.items())[:50]]
+    table = {lang: {g: k for k, g in enumerate(ranked(c))} for lang, c in totals.items()}
+    assert {(r["lang"], r["gram"]): r["place"] - 1 for r in profiles.collect()} == {(lang, g): k for lang, p in table.items() for g, k in p.items()}
     got = {r["doc_id"]: r for r in rows_of(language_id.identify(df.select("doc_id", "text"), profiles, 50))}
     for i, t in texts.items():
-        grams, n = language_id._counted(language_id._grams([t]) & language_id._LOW)
-        order = sorted(zip(-n, grams.tolist()))[:50]
-        apart = {lang: sum(abs(k - p[g]) if g in p else 50 for k, (_, g) in enumerate(order)) for lang, p in table.items()}
+        order = ranked(plain_grams(t))
+        apart = {lang: sum(abs(k - p[g]) if g in p else 50 for k, g in enumerate(order)) for lang, p in table.items()}
         best = min(sorted(apart), key=apart.get)
         assert got[i]["lang_pred"] == best
         assert got[i]["score"] == pytest.approx(max(0.0, 1 - apart[best] / (50 * len(order))))
 
 
+def test_language_id_rows(spark):
+    """Null and repeated ids stay rows each, ties go to the first language, a clash of names is told."""
+    rows = [(None, "aba cada"), (1, "aba cada"), (1, "aba cada"), (4, None), (5, "aba cada")]
+    df = spark.createDataFrame([(i, t, lang) for i, t in rows for lang in ("zz", "yy")], "doc_id long, text string, lang string")
+    got = rows_of(language_id.predict(df))
+    assert len(got) == 10 and {r["lang_pred"] for r in got if r["doc_id"] != 4} == {"yy"} and {r["lang_pred"] for r in got if r["doc_id"] == 4} == {"und"}
+    with pytest.raises(ValueError, match="score"):
+        language_id.identify(df.withColumn("Score", F.lit(1)), language_id.learn(df))
+
+
 def prose(seed, n):
     """Words of a skewed vocabulary of some thousands, as in a language."""
     rng = random.Random(seed)
@@ -380,6 +433,19 @@ def test_decontaminate(spark):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_rows(spark):
+    """Null ids are reported with it, repeated rows once, equal items each; rows are told apart by their key."""
+    item = prose(900, 30)
+    rows = [(None, prose(1, 40) + " " + item), (7, item), (7, item), (7, prose(2, 200)), (8, prose(3, 200))]
+    bench = spark.createDataFrame([(1, item), (2, item), (None, item), (3, prose(901, 30)), (3, prose(901, 30))], "item_id long, text string")
+    docs = frame(spark, rows)
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in rows_of(decontaminate.find(docs, bench)))
+    assert got == [(d, k) for d in (0, 7) for k in (0, 1, 2)]
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    found = {(r["doc_id"], r["row"]) for r in rows_of(decontaminate.find(keyed, bench, row="key"))}
+    assert found == {(r["doc_id"], r["key"]) for r in rows_of(keyed) if item in r["text"]}
+
+
 def test_decontaminate_short_items(spark):
     # one to eleven words, word for word in long prose, across lines and at both ends
     items = {n: " ".join(f"q{n}x{j}{w}" for j, w in enumerate(prose(900 + n, n).split())) for n in range(1, 12)}
@@ -492,9 +558,13 @@ def test_warc_repeated_ids(spark):
 def test_license_scan(spark):
     texts = {0: None, 1: "", 2: "x y\nReleased under the MIT License.\nz", 3: "Licensed under the Apache License, Version 2.0", 4: "released UNDER the mit licence!", 5: make(1, 5000), 6: "All rights reserved.\n\nAll rights reserved.", 7: "This is free and unencumbered software released\ninto the public domain.", 8: "under the"}
     got = {r["doc_id"]: r for r in rows_of(license_scan.report(frame(spark, texts)))}
-    known = [(n, set(license_scan._bigrams(t))) for n, t in license_scan.TEMPLATES]
+    def bigrams(text):
+        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        return [f"{a} {b}" for a, b in dict.fromkeys(zip(words, words[1:]))]
+
+    known = [(n, set(bigrams(t))) for n, t in license_scan.TEMPLATES]
     for i, t in texts.items():
-        units = {tuple(license_scan._bigrams(u)) for u in [*re.split(r"\r\n|[\n\r]", t or ""), *re.split(r"\n[ \t]*\n", t or ""), t or ""]}
+        units = {tuple(bigrams(u)) for u in [*re.split(r"\r\n|[\n\r]", t or ""), *re.split(r"\n[ \t]*\n", t or ""), t or ""]}
         hits = []
         for u in units:
             best = max(((2 * len(set(u) & b) / (len(u) + len(b)), n) for n, b in known if u), default=(0, ""))
@@ -506,6 +576,30 @@ def test_license_scan(spark):
     assert license_scan.report(frame(spark, {}).limit(0)).count() == 0
 
 
+def test_license_scan_rows(spark):
+    """Null and repeated ids stay rows each; columns named like the operator's own are kept; identifiers; both BSD texts."""
+    mit = "Released under the MIT License."
+    bsd = dict(license_scan.TEMPLATES)["BSD"]
+    third = dict(license_scan.TEMPLATES)["BSD-3-Clause"]
+    rows = [(None, mit), (1, mit), (1, mit), (2, None), (3, "// SPDX-License-Identifier: GPL-3.0-only"), (4, "The MIT License (MIT)\n\nCopyright x"), (5, f"{bsd}\n\n{third}"), (6, bsd)]
+    got = sorted((r["doc_id"] or 0, r["licences"]) for r in rows_of(license_scan.report(frame(spark, rows))))
+    assert got == [(0, "MIT"), (1, "MIT"), (1, "MIT"), (2, ""), (3, "GPL-3.0-only"), (4, "MIT"), (5, "BSD,BSD-3-Clause"), (6, "BSD")]
+    named = spark.createDataFrame([(mit, "a", "b", "c", "d")], "text string, pairs string, run string, units string, licence_hits string")
+    (r,) = rows_of(license_scan.scan(named, out="found"))
+    assert [r[c] for c in ("pairs", "run", "units", "licence_hits")] == ["a", "b", "c", "d"] and r["found"][0]["licence"] == "MIT"
+
+
+def test_license_scan_needed_words():
+    """Every text with a match has one of the needed words: also one with two thirds of a template's bigrams only."""
+    needed, rng = set(license_scan._needed(license_scan.TEMPLATES, 0.8)), random.Random(6)
+    for _, text in license_scan.TEMPLATES:
+        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        pairs = list(dict.fromkeys(zip(words, words[1:])))
+        least = -(-2 * len(pairs) // 3)
+        for _ in range(50):
+            assert needed & {w for p in rng.sample(pairs, least) for w in p}
+
+
 def test_license_scan_inside_prose(spark):
     a, b = make(11, 300), make(12, 200)
     texts = {1: "This project is licensed under the MIT License.", 2: "Copyright (c) 2021 Jane Doe. All rights reserved.", 3: f"{a} all rights reserved {b}", 4: f"{a} This work is licensed under the GNU Lesser General Public License, version 3. {b}", 5: f"{a} Licensed under CC BY-NC\n4.0. {b} Released under the MIT License. {b} licensed under the MIT license", 6: f"{a} all rights {b} reserved", 7: "all rights"}
@@ -527,3 +621,33 @@ def test_url_filter(spark):
     want = sorted([(u or "", str(f), v, k or "") for u, f, v, k in asked] + [("http://z.example.com", "2024-05-01 00:00:00", "allow", "example.com")])
     assert got == want
     assert url_filter.judge(captures.limit(0), entries).count() == 0 and {r["verdict"] for r in rows_of(url_filter.judge(captures, entries.limit(0)))} == {"none"}
+
+
+def test_url_filter_against_brute_force(spark):
+    """Entries over twelve years, long intervals, ties, a very long URL, and columns named like the operator's own."""
+    from datetime import datetime as D, timedelta as T
+
+    rng, start = random.Random(11), D(2012, 1, 1)
+    keys = ["a.org", "b.a.org", "b.a.org/p", "b.a.org/p/q", "c.net"]
+    entries = [(rng.choice(keys), rng.choice(["allow", "block"]), start + T(days=rng.randrange(4400), seconds=rng.randrange(3))) for _ in range(60)]
+    entries += [(k, a, start + T(days=d)) for k, a, d in (("c.net", "allow", 365), ("c.net", "block", 365), ("a.org", "allow", 0))]
+    long = "http://c.net/" + "x/" * 3000 + "y" * 100_000
+    urls = ["http://b.a.org/p/q/r", "http://B.a.org/p?x", "https://z.a.org:8/", "http://c.net", "http://d.com/", long]
+    captures = [(rng.choice(urls[:5]), start + T(days=rng.randrange(4700), seconds=rng.randrange(3))) for _ in range(300)] + [(long, start + T(days=400)), *((urls[0], e[2]) for e in entries)]
+    schema = "url string, fetched timestamp, u string, f int, month int, cell int, key string, verdict string, k int"
+    df = spark.createDataFrame([(*c, "u", 1, 2, 3, "key", "own", k) for k, c in enumerate(captures)], schema)
+    got = {r["k"]: r for r in rows_of(url_filter.judge(df, spark.createDataFrame(entries, "key string, action string, since timestamp")))}
+    for k, (url, at) in enumerate(captures):
+        h, _, path = url.split("//")[1].lower().partition("/")
+        h, parts = h.partition(":")[0], [x for x in path.partition("?")[0].split("/") if x]
+        labels = h.split(".")
+        asked = [".".join(labels[i:]) for i in range(len(labels) - 1)][::-1] + [f"{h}/{'/'.join(parts[: i + 1])}" for i in range(min(3, len(parts)))]
+        want = ("none", None)
+        for key in asked:
+            since = max((e[2] for e in entries if e[0] == key and e[2] <= at), default=None)
+            if since:
+                want = max(e[1] for e in entries if e[0] == key and e[2] == since), key
+        r = got[k]
+        assert (r["verdict"], r["matched_key"]) == want, (url[:30], at)
+        assert (r["u"], r["f"], r["month"], r["cell"], r["key"]) == ("u", 1, 2, 3, "key")
+    assert len(got) == len(captures)
