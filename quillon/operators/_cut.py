@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,3 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
+    """df with number: 1.. in the order of a column without repeats.  Rows are
+    numbered within ranges, which are added up by a row each; none holds all."""
+    df = cut(df.repartitionByRange(ranges, order).withColumn("_r", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy("_r").agg(F.count("*").alias("n")).select("_r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_r").orderBy(order))
+    return df.withColumn("_n", own).join(F.broadcast(sums), "_r").withColumn("number", (F.col("_n") + F.col("_before")).cast("int")).drop("_r", "_n", "_before")

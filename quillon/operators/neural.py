@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import array_dot, array_sum, let, softmax, uniform
-from .pairs import _matrix
+from .pairs import _matrix, dealt_within
 
 ACTIVATIONS = {
     "linear": (lambda z: z, lambda a: np.ones_like(a)),
@@ -206,13 +206,6 @@ def attention_within(df: DataFrame, group: str, blocks: int | None = None) -> Da
     the largest score, the sum of weights and the weighted values relative to it,
     and these are merged, so no task or row holds a group.
     """
-    rows = df.select("id", "v", F.col(group).alias("g")).where("g is not null")
-    n = blocks or max(1, -(-(rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0) // 4096))
-    own, other = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
-    dealt = rows.select("id", "v", "g", own.alias("own"), other)
-    left = dealt.select(F.col("id").alias("id_a"), F.col("v").alias("v_a"), F.col("g").alias("g_a"), F.col("own").alias("i_a"), F.col("other").alias("j_a"))
-    right = dealt.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"), F.col("g").alias("g_b"), F.col("other").alias("i_b"), F.col("own").alias("j_b"))
-
     def part(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"id": pa.array([], pa.int64()), "m": pa.array([], pa.float64()), "s": pa.array([], pa.float64()), "o": pa.array([], pa.list_(pa.float64()))})
@@ -222,7 +215,7 @@ def attention_within(df: DataFrame, group: str, blocks: int | None = None) -> Da
         w = np.exp(score - top[:, None])
         return pa.table({"id": a.column("id_a"), "m": pa.array(top), "s": pa.array(w.sum(1)), "o": pa.array(list(w @ k), pa.list_(pa.float64()))})
 
-    parts = left.groupBy("g_a", "i_a", "j_a").cogroup(right.groupBy("g_b", "i_b", "j_b")).applyInArrow(part, "id long, m double, s double, o array<double>")
+    parts = dealt_within(df.select("id", "v", F.col(group).alias("g")), blocks).applyInArrow(part, "id long, m double, s double, o array<double>")
     own = parts.groupBy("id").agg(F.collect_list(F.struct("m", "s", "o")).alias("p"))  # a part for each block
     own = own.withColumn("top", F.array_max(F.transform("p", lambda x: x["m"])))
     total = F.aggregate("p", F.lit(0.0), lambda t, x: t + x["s"] * F.exp(x["m"] - F.col("top")))

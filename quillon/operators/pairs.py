@@ -47,6 +47,18 @@ def _dealt(df: DataFrame, n: int, side: str):
     return out.select(F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}"), F.col(i).alias("i"), F.col(j).alias("j"))
 
 
+def dealt_within(df: DataFrame, blocks: int | None = None, rows: int = BLOCK):
+    """Rows (id, v, g) as a cogroup of pairs of blocks of each group g: the left
+    table has id_a and v_a, the right one id_b and v_b."""
+    df = df.where("g is not null")
+    n = blocks or max(1, -(-(df.groupBy("g").count().agg(F.max("count")).first()[0] or 0) // rows))
+    own, other = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
+    dealt = df.select("id", "v", "g", own.alias("own"), other)
+    left = dealt.select(F.col("id").alias("id_a"), F.col("v").alias("v_a"), F.col("g").alias("g_a"), F.col("own").alias("i_a"), F.col("other").alias("j_a"))
+    right = dealt.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"), F.col("g").alias("g_b"), F.col("other").alias("i_b"), F.col("own").alias("j_b"))
+    return left.groupBy("g_a", "i_a", "j_a").cogroup(right.groupBy("g_b", "i_b", "j_b"))
+
+
 def nearest(queries: DataFrame, train: DataFrame, k: int, skip_self: bool = False, blocks: int | None = None) -> DataFrame:
     """(q, id, d2, place): the k nearest rows of train (id, v) of each query;
     ties by id.  Each pair of blocks sends its own k best."""
