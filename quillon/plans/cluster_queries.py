@@ -173,10 +173,25 @@ def pca_covariance(spark, sf_dir):
     return spark.createDataFrame([(i, j, round(float(cov[i, j]), 8) + 0.0) for i in range(len(cov)) for j in range(len(cov))], "i int, j int, covariance double")
 
 
-@query("pca_projection")
+def _component_sql(matrix: str, name: str) -> str:
+    """CTE name (v): the first eigenvector of a symmetric matrix (m, a list of
+    rows), by squaring it until one direction is left; its largest entry is positive."""
+    trace = "list_sum(list_transform(m, lambda r, i: r[i]))"
+    steps = f"{name}_p(k, m) as (select 0, m from {matrix} union all select k + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / t)) from (select k, m, {trace} ** 2 as t from {name}_p) where k < 15)"
+    row = f"select list_extract(m, list_position(d, list_max(d))) r from (select m, list_transform(m, lambda r, i: r[i]) d from {name}_p where k = 15)"
+    sign = "(select list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) v from q)"
+    return f"{steps}, {name} as (with q as ({row}), u as (select *, list_transform(v, lambda x: abs(x)) w from {sign}) select list_transform(v, lambda x: x * sign(list_extract(v, list_position(w, list_max(w))))) v from u)"
+
+
+@query("pca_projection", f"""with recursive {_E}, x as (select id, i, v[i] x from e, range(1, 65) t(i)), m as (select i, avg(x) m from x group by i), c as (select x.id, x.i, x.x - m.m x from x join m using (i)),
+cov as (select a.i, b.i j, sum(a.x * b.x) / ((select count(*) from e) - 1) c from c a join c b on a.id = b.id group by a.i, b.i),
+m1 as (select list(r order by i) m from (select i, list(c order by j) r from cov group by i)), {_component_sql('m1', 'v1')},
+m2 as (select list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) m from (select m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) l from m1, v1)), {_component_sql('m2', 'v2')},
+mean as (select list(m order by i) mu from m)
+select id, round(list_dot_product(e.v, v1.v) - list_dot_product(mu, v1.v), 6) + 0.0 as pc1, round(list_dot_product(e.v, v2.v) - list_dot_product(mu, v2.v), 6) + 0.0 as pc2 from e, v1, v2, mean""")
 def pca_projection(spark, sf_dir):
     e = vectors(spark, sf_dir).select("id", "v")
-    return decompose.pca(e, 2).transform(e).select("id", F.round(F.col("v")[0], 6).alias("pc1"), F.round(F.col("v")[1], 6).alias("pc2"))
+    return decompose.pca(e, 2).transform(e).select("id", (F.round(F.col("v")[0], 6) + 0.0).alias("pc1"), (F.round(F.col("v")[1], 6) + 0.0).alias("pc2"))
 
 
 @query("fast_ica")

@@ -208,10 +208,24 @@ def transformer(spark, sf_dir):
     return neural.over_sequences(e, "user_id", "ts", lambda x: neural.transformer_block(x, w, 2)).select("user_id", F.size("out").alias("n"), F.round(F.element_at("out", -1)[0], 5).alias("x0"))
 
 
-@query("encoder_decoder")
+_RNG = np.random.Generator(np.random.PCG64(4))
+_CODER = tuple(_RNG.standard_normal(s) / 2 for s in ((2, 3), (3, 3), (3, 3), (3, 4)))
+
+
+def _coder_sql(steps: int) -> str:
+    we, ue, ud, vo = ([[repr(float(x)) for x in row] for row in w] for w in _CODER)
+    code = ", ".join(f"tanh({we[0][j]} * (r.v / 50) + {we[1][j]} + " + " + ".join(f"{ue[i][j]} * k.h{i}" for i in range(3)) + f") h{j}" for j in range(3))
+    ctes = [f"k(u, t, h0, h1, h2) as (select u, 0::bigint, 0.0::double, 0.0::double, 0.0::double from r where t = 1 union all select r.u, r.t, {code} from k join r on r.u = k.u and r.t = k.t + 1)"]
+    ctes.append("g0 as (select u, " + ", ".join(f"arg_max(h{j}, t) h{j}" for j in range(3)) + " from k group by u)")
+    for n in range(steps):
+        ctes.append(f"g{n + 1} as (select u, " + ", ".join("tanh(" + " + ".join(f"{ud[i][j]} * h{i}" for i in range(3)) + f") h{j}" for j in range(3)) + f" from g{n})")
+    z = ", ".join(" + ".join(f"{vo[i][j]} * h{i}" for i in range(3)) + f" z{j}" for j in range(4))
+    return f"with recursive r as (select user_id u, row_number() over (partition by user_id order by ts, value) t, value v from events), {', '.join(ctes)} select u as user_id, round(1 / (1 + exp(z1 - z0) + exp(z2 - z0) + exp(z3 - z0)), 6) as p0 from (select u, {z} from g{steps})"
+
+
+@query("encoder_decoder", _coder_sql(3))
 def encoder_decoder(spark, sf_dir):
-    rng = np.random.Generator(np.random.PCG64(4))
-    we, ue, ud, vo = (rng.standard_normal(s) / 2 for s in ((2, 3), (3, 3), (3, 3), (3, 4)))
+    we, ue, ud, vo = _CODER
     e = table(spark, sf_dir, "events").select("user_id", "ts", F.array(F.col("value") / 50, F.lit(1.0)).alias("v"))
     return neural.over_sequences(e, "user_id", "ts", lambda x: neural.encoder_decoder(x, we, ue, ud, vo, 3)).select("user_id", F.round(F.element_at("out", -1)[0], 6).alias("p0"))
 
