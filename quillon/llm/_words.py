@@ -163,6 +163,15 @@ def shingle_sets(words: Words, hashes: np.ndarray, width: int = 5):
     return values[keep], np.bincount(doc[keep], minlength=words.n_docs)
 
 
+def set_hashes(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each document's set of shingles, of flat values and counts; the order doesn't matter."""
+    total, full = np.zeros(len(counts), np.uint64), counts > 0
+    if full.any():
+        begin = (np.cumsum(counts) - counts)[full]
+        total[full] = np.add.reduceat(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), begin)
+    return mix64(total + counts.astype(np.uint64)).view(np.int64)
+
+
 def _sort_within(values, doc, begin, n_sh):
     """Sorts each document's slice in place."""
     for b, n in zip(begin.tolist(), n_sh.tolist()):

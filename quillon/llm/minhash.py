@@ -11,12 +11,16 @@ similarity of what they bring together with the exact shingle sets;
 ``fingerprints`` gives both for each document.
 
 1. Documents with equal sets are one class.  A band's slots make a key; keys of
-   two classes at least are kept.
-2. In a key's bucket every class is paired with the most central one (with the
-   most company over all its buckets), so a bucket of m near copies gives about
-   m pairs.  Pairs are verified, and links give components.
+   two classes at least are kept.  Of the classes with such a key, only those of
+   whose shingles enough are in other ones, too, can have a partner; a support
+   count drops the rest.
+2. In a key's bucket every class is paired with the most central one (whose
+   shingles occur most in other classes), so a bucket of m near copies gives
+   about m pairs.  Pairs are verified, and links give components.
 3. Where a bucket still has several components, classes are paired with those of
-   the commonest one and of other ones; these pairs are verified, too.
+   the commonest one and of other ones; pairs whose signatures agree in a share
+   ``ESTIMATE`` of the slots or more are verified, too.  (Of pairs of similarity
+   .8, 1 in 100 agrees in fewer; slots are compared by a byte of each.)
 
 A null or empty text, or one without words, has the signature of the empty
 set, which is equal to itself only; it links with nothing.  Rows with a null
@@ -36,19 +40,20 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import Workspace, partitions
-from ._words import Words, chunks, mix64, shingle_sets, text_buffers
+from ._words import Words, chunks, mix64, set_hashes, shingle_sets, text_buffers
+from .ngram_join import FRAGMENT, segments, supported
 
 SLOTS = 128
 #: Bands of SLOTS // BANDS slots: a pair of similarity .8 shares one with
 #: probability 1 - (1 - .8**7)**18 = .986, one of .9 with .99999, one of .4 with .03.
 BANDS = 18
 WIDTH = 5
+#: Least share of equal slots of a pair that is verified.
+ESTIMATE = 0.72
 #: Bytes of text that a range of ``chained`` is to hold, and the most ranges (a
 #: task streams its range, whose size bounds its time but not its memory).
 RANGE_BYTES = 32 << 20
 RANGES = 2048
-#: A bucket's classes count up to this in a class's centrality.
-COMPANY = 50
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**63, size=512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,12 +69,11 @@ def sketches(texts: pa.Array, slots: int = SLOTS, width: int = WIDTH):
         words = Words(data, offsets, i, j)
         values, counts = shingle_sets(words, words.hashes(True), width)
         full = np.flatnonzero(counts)
-        sizes[i:j] = counts
+        sizes[i:j], sids[i:j] = counts, set_hashes(values, counts)
         if not len(full):
             continue
         begin = (np.cumsum(counts) - counts)[full]
         values = mix64(values)
-        sids[i + full] = mix64(np.add.reduceat(mix64(values), begin) + counts[full].astype(np.uint64)).view(np.int64)
         for k in range(slots):
             out[i + full, k] = np.minimum.reduceat(values * _A[k] + _B[k], begin) >> np.uint64(32)
     return out, sizes, sids
@@ -186,7 +190,7 @@ def _chain(slots, width):
 
 
 def _banded(slots, bands, width):
-    """doc_id, n_shingles, sid, bands (keys) of texts."""
+    """doc_id, n_shingles, sid, bands (keys), sketch (a byte of each slot, eight to a number) of texts."""
     per = slots // bands
 
     def rows(batches):
@@ -196,8 +200,9 @@ def _banded(slots, bands, width):
             for b in range(bands):
                 for k in range(b * per, (b + 1) * per):
                     keys[:, b] = mix64(keys[:, b] * np.uint64(31) + sig[:, k])
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(sids), flat], ["doc_id", "n_shingles", "sid", "bands"])
+            sketch = np.ascontiguousarray((sig & np.uint32(0xFF)).astype(np.uint8)).view(np.int64)
+            flat = [pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys.view(np.int64), sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(sids), *flat], ["doc_id", "n_shingles", "sid", "bands", "sketch"])
 
     return rows
 
@@ -213,7 +218,7 @@ def _shingles(width):
                 words = Words(data, offsets, i, j)
                 values, n = shingle_sets(words, words.hashes(True), width)
                 cuts = np.r_[0, np.cumsum(n)].tolist()
-                _, _, sids = sketches(batch.column("text").slice(i, j - i), 0, width)
+                sids = set_hashes(values, n)
                 pick = np.flatnonzero(sids == want[i:j]).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(sids[pick]), pa.array([values[cuts[k] : cuts[k + 1]].tobytes() for k in pick], pa.binary())], ["sid", "shingles"])
 
@@ -233,21 +238,32 @@ def _alike(percent):
     return rows
 
 
+#: Slots in which two sketches differ: the bits of each byte of x ^ y are folded into its last one.
+_X = "(x ^ y)"
+_Y = f"({_X} | shiftrightunsigned({_X}, 4))"
+_Y = f"({_Y} | shiftrightunsigned({_Y}, 2))"
+_Y = f"({_Y} | shiftrightunsigned({_Y}, 1))"
+_UNEQUAL = f"aggregate(zip_with(sa, sb, (x, y) -> bit_count({_Y} & {0x0101010101010101})), 0, (s, n) -> s + n)"
+
+
 def _classes(work: Workspace, docs: DataFrame, percent: int, slots: int, bands: int, width: int) -> tuple[DataFrame, DataFrame]:
     """The table (doc_id, n_shingles, sid), and (sid, component_id) of the classes
     whose component_id may differ from the doc_id of one of their rows."""
     docs = docs.where("doc_id is not null")
-    made = docs.select("doc_id", "text").mapInArrow(_banded(slots, bands, width), "doc_id long, n_shingles long, sid long, bands array<long>")
+    made = docs.select("doc_id", "text").mapInArrow(_banded(slots, bands, width), "doc_id long, n_shingles long, sid long, bands array<long>, sketch array<long>")
     table = work.table(made, "signatures")
     full = table.where("n_shingles > 0")
-    classes = work.table(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    classes = work.table(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("n_shingles").alias("size")), "classes")
     band = full.select("sid", F.explode("bands").alias("key"))
     shared = work.table(band.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key"), "shared")
     hits = work.table(band.join(work.small(shared), "key").distinct(), "hits")
-    # nodes: the classes with company, the most central ones with the smallest numbers
-    company = work.table(hits.groupBy("key").agg(F.least(F.count("*"), F.lit(COMPANY)).alias("n")), "company")
-    central = hits.join(work.small(company), "key").groupBy("sid").agg(F.sum("n").alias("w"))
-    nodes = central.join(classes, "sid").repartitionByRange(F.desc("w"), "sid").sortWithinPartitions(F.desc("w"), "sid")
+    some = work.table(classes.join(work.small(work.table(hits.select("sid").distinct(), "some")), "sid"), "candidates")
+    many = max(4, -(-int(some.agg(F.sum("size")).first()[0] or 0) // FRAGMENT))
+    reps = work.small(work.table(some.select(F.col("rep").alias("doc_id")).distinct(), "reps"))
+    support = supported(segments(docs.join(reps, "doc_id"), width, percent, 1.0, many), many)
+    # nodes: the most central classes have the smallest numbers
+    nodes = some.join(support, "sid").where(f"100 * n >= {percent} * size").withColumn("pri", F.expr("-cast(1000000 * w / size as long)"))
+    nodes = nodes.repartitionByRange("pri", "sid").sortWithinPartitions("pri", "sid")
     nodes = work.table(nodes.select(F.monotonically_increasing_id().alias("node"), "sid", "rep"), "nodes")
     small_nodes = work.small(nodes)
     hits = work.table(hits.join(small_nodes, "sid").select("key", "node"), "hits")
@@ -271,9 +287,12 @@ def _classes(work: Workspace, docs: DataFrame, percent: int, slots: int, bands:
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     mixed = work.table(named.join(work.small(work.table(mixed, "mixed-keys")), "key"), "mixed")
     major = mixed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("major"))
-    x = mixed.join(work.small(work.table(major, "major")), "key").where("label <> major").select("key", "major", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = verified(x.join(y, "key").where("la <> lb and (lb = major or a < b)"))
+    own = nodes.join(work.small(work.table(mixed.select("node").distinct(), "left")), "node").select("sid", F.col("rep").alias("doc_id"), "node")
+    sketches_ = full.join(work.small(work.table(own, "own")), ["sid", "doc_id"]).select("node", "sketch").dropDuplicates(["node"])
+    mixed = mixed.join(work.small(work.table(sketches_, "sketches")), "node")
+    x = mixed.join(work.small(work.table(major, "major")), "key").where("label <> major").select("key", "major", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
+    y = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb"))
+    rest = verified(x.join(y, "key").where(f"la <> lb and (lb = major or a < b) and {_UNEQUAL} <= {int((1 - ESTIMATE) * slots)}"))
     comp = components(work, work.table(stars.unionByName(rest), "all-links")).join(small_nodes, "node")
     comp = work.table(comp.select("component", "sid", "rep"), "components")
     least = comp.groupBy("component").agg(F.min("rep").alias("least"))

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import Workspace, partitions
-from ._words import Words, chunks, mix64, shingle_sets, text_buffers
+from ._words import Words, chunks, set_hashes, shingle_sets, text_buffers
 
 WIDTH = 5
 #: n-grams that one fragment of a support count is to hold; their number follows the data.
@@ -66,12 +66,7 @@ def _sets(batch, width):
     for i, j in chunks(offsets):
         words = Words(data, offsets, i, j)
         values, counts = shingle_sets(words, words.hashes(True), width)
-        total = np.zeros(j - i, np.uint64)
-        full = counts > 0
-        if full.any():
-            begin = (np.cumsum(counts) - counts)[full]
-            total[full] = np.add.reduceat(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), begin)
-        yield i, counts, values, mix64(total + counts.astype(np.uint64)).view(np.int64)
+        yield i, counts, values, set_hashes(values, counts)
 
 
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
@@ -102,7 +97,7 @@ def _dealt(keys, *columns, n):
     return fragment[cuts], blobs
 
 
-def _segments(docs: DataFrame, width: int, percent: int, longer: float, n_fragments: int) -> DataFrame:
+def segments(docs: DataFrame, width: int, percent: int, longer: float, n_fragments: int) -> DataFrame:
     """Segments (fragment, hashes, sids, ws) of the texts; longer >= 1 takes whole sets.
 
     n-grams of two classes of a task's texts are settled there: it counts them
@@ -155,7 +150,7 @@ def _blob(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for c in table.column(name).chunks for x in c.to_pylist()), kind)
 
 
-def _supported(segments: DataFrame, buckets: int) -> DataFrame:
+def supported(segments: DataFrame, buckets: int) -> DataFrame:
     """(sid, n, w): how many of the n-grams sent other classes have too, and
     the sum of their document frequencies (up to CENTRAL each).
 
@@ -313,14 +308,14 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = WIDTH, key: st
 
     # support by a part of each set, over all rows
     many = fragments(classes, 0.2 + LONGER, partitions(spark))
-    part = _segments(named, width, percent, LONGER, many)
+    part = segments(named, width, percent, LONGER, many)
     need = F.expr(f"greatest(1, floor({LONGER} * ceil({percent} * size / 100)))")
-    alive = work.table(classes.join(_supported(part, many), "sid").where(F.col("n") >= need).select("sid", "rep", "size"), "alive")
+    alive = work.table(classes.join(supported(part, many), "sid").where(F.col("n") >= need).select("sid", "rep", "size"), "alive")
     # then by whole sets, over one row a class at least
     many = fragments(alive)
     reps = work.table(alive.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-    whole = _segments(named.join(work.small(reps), "doc_id"), width, percent, 1.0, many)
-    left = alive.join(_supported(whole, many), "sid").where(f"100 * n >= {percent} * size")
+    whole = segments(named.join(work.small(reps), "doc_id"), width, percent, 1.0, many)
+    left = alive.join(supported(whole, many), "sid").where(f"100 * n >= {percent} * size")
     left = work.table(left.select("sid", "rep", "size", F.expr("-cast(1000000 * w / size as long)").alias("pri")), "left")
     mult = full.join(work.small(left).select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"]).groupBy("sid").agg(F.count("*").alias("mult"))
     nodes = left.join(work.table(mult, "mult"), "sid").repartitionByRange("pri", "sid").sortWithinPartitions("pri", "sid")
