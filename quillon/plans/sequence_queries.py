@@ -227,7 +227,8 @@ round(least(exp(value / 50 - 0.5) * (value - 25), greatest(0.8, least(1.2, exp(v
 round(-0.5 * ((value / 50 - 0.1) / exp(-0.5)) ** 2 + 0.5 - 0.5 * ln(2 * pi()) - ln(1 - tanh(value / 50) ** 2 + 1e-6), 6) as log_prob, round(value + 1 - (1 + 2 + 6) / 3.0, 6) as dueling_first from events""")
 def targets(spark, sf_dir):
     v, done = F.col("value"), F.col("event_type") == "error"
-    online_q, target_q = F.array(v, F.lit(20.0)), F.array(F.when(v > 20, 3.0).otherwise(-1.0), F.when(v > 20, 5.0).otherwise(v))
+    # equal values take the first action, which in the SQL is the one worth 20
+    online_q, target_q = F.array(F.lit(20.0), v), F.array(F.when(v > 20, 5.0).otherwise(v), F.when(v > 20, 3.0).otherwise(-1.0))
     ratio = F.exp(v / 50 - 0.5)
     cols = {
         "twin": rl.twin_target(v, done, v / 2, v / 3 + 1),
