@@ -5,7 +5,7 @@ is cut, from the end, so that its first piece alone may be shorter.
 
 1. Texts are tokenised once; the pieces (not the ids) are written.  A byte-level
    vocabulary's words (in its own pattern's sense) are looked up among those that
-   the worker has met; only others go through the vocabulary's merges.  A text
+   the task has met; only others go through the vocabulary's merges.  A text
    that holds a special token or characters beyond ``_PLAIN``, of which programs
    might disagree whether they are letters or white space, and every text of
    another kind of vocabulary, goes through the tokenizer as it is.
@@ -31,7 +31,7 @@ import json
 import os
 import re
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +47,18 @@ CLOSING = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Steps of the least-squares fit.
 STEPS = 400
-#: Words whose ids a worker keeps; beyond them it begins anew.  Longer ones aren't kept.
-KNOWN, LONG = 300_000, 64
+#: Units whose ids a task keeps, twice.  Longer ones aren't kept.
+KNOWN, LONG = 100_000, 64
 #: Characters whose kind is the same in all versions of Unicode.
 _PLAIN = re.compile("[\0-\x1b\x20-\x84\x86-\x9f\xa1-\u024f\u2010-\u2027\u2030-\u205e\u4e00-\u9fa5\U0001f300-\U0001f64f]*")
 #: Where that pattern always cuts: before a run without white space, with one
 #: space before it, and before a run of white space.
 _UNITS = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+#: White space of few texts, and where a split at spaces and line ends would cut a run of white space.
+_RARE = ("\t", "\v", "\f", "\r")
+_INSIDE = ("   ", "  \n ", " \n  ", " \n \n ")
+#: Marks that are one word of the pattern wherever they stand together after letters.
+_MARKS = ".,;:!?#"
 # Fixed value: the pattern of byte-level vocabularies.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _encoders: dict = {}
@@ -67,6 +72,29 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
 
 
+class _Known(dict):
+    """Ids of units that a task has met, of two generations of ``KNOWN``: what
+    the older one alone has moves over when it is met again, the rest goes."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= KNOWN:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class Encoder:
     """Token ids of texts by a vocabulary file of the tokenizers library."""
 
@@ -82,35 +110,50 @@ class Encoder:
         self.by_word = made["model"]["type"] == "BPE" and not made["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.letters = _byte_letters()
         self.space = chr(self.letters[0x20])
-        self.known: dict[str, list[int]] = {}
+        self.known = _Known(self._units)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-
-    def _unit(self, unit: str) -> list[int]:
-        """Ids of a run without white space (and one space before it) or of white space."""
-        spaced = unit[0] == " "
-        own = unit[1:] if spaced else unit
-        if own.isalpha():  # one word
-            ids = [t.id for t in self.model.tokenize(self.space + own if spaced else own)] if own.isascii() else self._word(unit)
-        else:
-            ids = []
-            for word in _WORDS.findall(unit):
-                ids += self.known.get(word) or self._word(word)
-        if len(unit) <= LONG:
-            self.known[unit] = ids
-        return ids
+    def _ids(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._ids(word.encode().decode("latin-1").translate(self.letters))
+
+    def _units(self, key: str) -> bytes:
+        """Ids of what a key of the known ones stands for: a unit without the space
+        before it, or, after ``\\n``, that and a unit, or, after ``\\r``, a unit."""
+        if key.isalpha():  # one word
+            return self._ids(self.space + key) if key.isascii() else self._word(" " + key)
+        core = key.rstrip(_MARKS)
+        if core.isalpha():  # a word and a run of marks
+            return self.known[core] + self.known["\r" + key[len(core) :]]
+        if key[:1] == "\n":
+            return self._word("\n") + (self.known["\r" + key[1:]] if len(key) > 1 else b"")
+        unit = key[1:] if key[:1] == "\r" else " " + key
+        words = _WORDS.findall(unit)
+        if len(words) < 2:
+            return self._word(unit) if unit else b""
+        return b"".join([self.known[w[1:] if w[0] == " " and len(w) > 1 else "\r" + w] for w in words])
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
+        if not self.by_word or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return np.array(self.whole(text), "<u4").tobytes()
+        known = self.known.__getitem__
+        if not any(s in text for s in _RARE):
+            # A space or line end cuts unless it has white space on both sides
+            # (the text's end is such): then each part that a split gives is by itself.
+            lines = text.replace("\n", " \n")
+            if not (("  " in lines or " \n " in lines or lines[-1:] in (" ", "\n")) and any(s in lines + " " for s in _INSIDE)):
+                parts = lines.split(" ")
+                parts[0] = "\r" + parts[0]
+                return b"".join(map(known, parts))
+        return b"".join([known("\r" + u) for u in _UNITS.findall(text)])
 
     def __call__(self, text: str) -> list[int]:
-        if not self.by_word or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        known, unit = self.known.get, self._unit
-        return list(chain.from_iterable([known(u) or unit(u) for u in _UNITS.findall(text)]))
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
@@ -130,18 +173,20 @@ def pieces(docs: DataFrame, length: int = LENGTH, closing: int = CLOSING, vocabu
     """doc_id, piece, start, length, ids_crc32 of every piece of docs (doc_id, text)."""
 
     def rows(batches):
-        encode = encoder(vocabulary)
-        for batch in batches:
-            out = [], [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "")
-                ids.append(closing)
-                ids = np.array(ids, "<u4")
-                ends = list(range(len(ids), 0, -length))[::-1]
-                for piece, (a, b) in enumerate(zip([0, *ends], ends)):
-                    for k, x in enumerate((doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
-                        out[k].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        own, close = encoder(vocabulary), np.array([closing], "<u4").tobytes()
+        encode = own.packed
+        try:
+            for batch in batches:
+                out = [], [], [], [], []
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    ids = memoryview(encode(text or "") + close)
+                    ends = list(range(len(ids) // 4, 0, -length))[::-1]
+                    for piece, (a, b) in enumerate(zip([0, *ends], ends)):
+                        for k, x in enumerate((doc, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))):
+                            out[k].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:  # workers stay, and other operators' tasks need the memory
+            own.known.forget()
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
