@@ -93,7 +93,7 @@ def frequencies(docs: DataFrame, dims: int = DIMS, passage: int = PASSAGE) -> tu
     def counts(batches):
         df, n = np.zeros(dims, np.int64), 0
         for batch in batches:
-            for _, words, hashes in _parts(batch, 1 << 20):
+            for _, words, hashes in _parts(batch):
                 first = _passages(words, passage)
                 own = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(hashes)]))
                 key = own * dims + _terms(hashes, dims)
@@ -127,9 +127,10 @@ def latent(docs: DataFrame, dims: int = DIMS, rank: int = RANK, passage: int = P
                 padded, at, _ = _padded(words, term, passage, 0, dims)
                 q = padded.reshape(-1, passage)
                 y = _summed(gauss, q) / weight[q].sum(1)[:, None]
-                y, own = np.ascontiguousarray(y.T), at // passage
+                y, own = np.ascontiguousarray(y.T, np.float64), at // passage
+                held = np.empty(len(own))
                 for k in range(wide):
-                    total[k] += np.bincount(term, y[k][own], dims)
+                    total[k] += np.bincount(term, np.take(y[k], own, out=held, mode="clip"), dims)
         total = (total.T * idf[:, None]).astype(np.float32)
         for b in range(0, dims, SENT):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([total[b : b + SENT].tobytes()], pa.binary())], ["block", "sums"])
@@ -282,9 +283,11 @@ def _search(shared, cosine, least, answer, dims):
                         if (a, b) == done:
                             continue
                         done = (a, b)
-                        region = hashes[a:b].tolist()
-                        length = lcs(target, region) / size
-                        if length >= (least if size >= SHORT else 1.0) - 1e-9:
+                        # words that the item lacks are in no common subsequence
+                        region = hashes[a:b][items.has[y, at[a:b]]].tolist()
+                        enough = (least if size >= SHORT else 1.0) - 1e-9
+                        length = lcs(target, region) / size if len(region) >= enough * size else 0.0
+                        if length >= enough:
                             end_part = lcs(tail, region) / len(tail)
                             if end_part >= answer:
                                 for o, v in zip(out, (ids[i + d], keys[i + d], items.ids[y], c, length, end_part)):
