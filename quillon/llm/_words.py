@@ -15,7 +15,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+#: Work on a chunk takes some fifty times its bytes.
+CHUNK_BYTES = 1 << 18
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

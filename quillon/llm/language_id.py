@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Workspace, unused
-from ._words import chunks, mix64, text_buffers
+from ._words import CHUNK_BYTES, chunks, mix64, text_buffers
 
 TOP = 300
 LONGEST = 3
@@ -81,10 +81,10 @@ def _counted(keys):
 _LOW = np.uint64((1 << 48) - 1)
 
 
-def _pieces(batch, text="text"):
+def _pieces(batch, text="text", limit=1 << 20):
     _, offsets = text_buffers(batch.column(text))
     texts = batch.column(text).to_pylist()
-    for i, j in chunks(offsets, 1 << 20):
+    for i, j in chunks(offsets, limit):
         yield i, j, texts[i:j]
 
 
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, profiles: DataFrame, top: int = TOP, text: str = "
     def rows(batches):
         for batch in batches:
             found, near = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            for i, j, texts in _pieces(batch, text):
+            for i, j, texts in _pieces(batch, text, CHUNK_BYTES):
                 if not langs:
                     continue
                 g, n = _counted(_grams(texts))

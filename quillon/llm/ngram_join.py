@@ -51,7 +51,7 @@ WIDTH = 5
 #: n-grams that one fragment of a support count is to hold; their number follows the data.
 FRAGMENT = 400_000
 #: n-grams that a task gathers before it deals them out.
-GATHERED = 1_000_000
+GATHERED = 500_000
 #: Share of a set by which the prefix of the first support count is longer.
 LONGER = 0.2
 #: An n-gram's document frequency counts up to this in a class's centrality.
